@@ -11,25 +11,29 @@ from .common import shared_dir
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of an edge, the smallest node that it reaches.
 
-    Each round, every node hooks to its smallest neighbour and the edges are rewritten between
-    the hooked nodes, so that an edge table of n nodes is empty after about log n rounds; a star or a
-    clique takes one or two. Neighbours are reduced by a min with map-side partial sums, so a node
+    Each round, every node hooks to the first of its neighbours and itself, hooks are followed twice more and the edges are
+    rewritten between the nodes they lead to, until none is left. Rounds take the nodes by turns in their own order, in which a star
+    around its smallest node ends at once, and in a hashed one, in which long chains shrink to less than
+    half, so some log n rounds do. Neighbours are reduced by a min with map-side partial results, so a node
     with a third of all edges is no single task's work. checkpoint() cuts the lineage in the shared
     folder. Self-loops, repeated and reversed edges are allowed; an edge with a null end is ignored;
     an empty table gives an empty result."""
     shared_dir(edges.sparkSession)
-    kind = edges.schema[a].dataType
+    kind = edges.schema[a].dataType.simpleString()
     live = (
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") < F.col("b")))
         .distinct().checkpoint()
     )
-    label = None
+    label, turn = None, 0
     while not live.isEmpty():
-        hook = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).groupBy("e.node").agg(F.min("e.to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        hook = hook.checkpoint()
-        up = hook.select(F.col("node").alias("to"), F.col("to").alias("above"))
-        hook = hook.join(up, "to", "left").select("node", F.coalesce("above", "to").alias("to")).checkpoint()
+        order = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
+        both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("to"))).alias("best"))
+        hook = first.select("node", F.when(F.col("best.o") < order("node"), F.col("best.to")).otherwise(F.col("node")).alias("to")).checkpoint()
+        for _ in range(2):
+            up = hook.select(F.col("node").alias("to"), F.col("to").alias("above"))
+            hook = hook.join(up, "to").select("node", F.col("above").alias("to")).checkpoint()
         ends = [hook.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in ("a", "b")]
         live = (
             live.join(ends[0], "a").join(ends[1], "b")
@@ -37,10 +41,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("a < b").distinct().checkpoint()
         )
         if label is None:
-            label = hook.withColumnRenamed("to", "component")
+            label = hook.withColumnRenamed("to", "root")
         else:
-            up = hook.select(F.col("node").alias("component"), F.col("to").alias("above"))
-            label = label.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component")).checkpoint()
+            up = hook.select(F.col("node").alias("root"), F.col("to").alias("above"))
+            label = label.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).checkpoint()
+        turn += 1
     if label is None:
-        return edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    return label
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    least = label.groupBy("root").agg(F.min("node").alias("component"))
+    return label.join(least, "root").select("node", "component").checkpoint()

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import load
+from .line_cleaning import with_measures
+from .mixing import mix
+from .near_dup import near_duplicates
+from .sharding import shard
 from .token_files import encode_round_trip
 
 
@@ -13,5 +18,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(load(spark, sf_dir, "documents"), 24)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(load(spark, sf_dir, "documents"), shingle=3, words=1, width=32, most=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_measures(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean")
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op9_simhash": op9_simhash, "op10_line_cleaning": op10_line_cleaning}
 ORACLES: dict[str, str] = {}

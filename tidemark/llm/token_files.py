@@ -36,7 +36,7 @@ PACKING = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE, RAW = 15, 16
 BLOCK_IDS = 1 << 16
 TAIL = ".,;:!?*$#%&|<>()\"-"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 
 
 def fits(ids: np.ndarray) -> np.ndarray:
