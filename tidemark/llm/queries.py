@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_classifier
 from .common import load
+from .decontamination import contaminated
 from .line_cleaning import with_measures
+from .line_dedup import line_duplicates
 from .mixing import mix
 from .near_dup import near_duplicates
 from .sharding import shard
+from .token_counts import token_counts
 from .token_files import encode_round_trip
 
 
@@ -26,6 +30,31 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(load(spark, sf_dir, "documents"), 24)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, load(spark, sf_dir, "labels")))
+    return scored.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "difference")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(load(spark, sf_dir, "documents"), shingle=3, words=1, width=32, most=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,5 +64,11 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_measures(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean")
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op9_simhash": op9_simhash, "op10_line_cleaning": op10_line_cleaning}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, pipeline)}
 ORACLES: dict[str, str] = {}

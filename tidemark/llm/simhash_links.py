@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_checked, staged
 from .components import components
 
 
@@ -54,17 +54,20 @@ def links(nodes: DataFrame, own: Column, others: Column | None, words: int, most
     rows = stored.withColumn("stored", F.lit(True))
     if others is not None:
         rows = rows.unionByName(nodes.select("node", F.explode(others).alias("key")).withColumn("stored", F.lit(False)))
-    hits = staged(rows.join(lead, "key").where("node <> lead"), "simhash-hits")
+    else:
+        lead = staged(lead.where("held > 1"), "simhash-shared")  # the others' only row is the lead itself
+    pair = "held > 1" if others is not None else "held > 2"  # whether rows besides the lead can meet
+    hits = staged((rows.join(lead, "key") if others is not None else join_checked(rows, lead, "key")).where("node <> lead"), "simhash-hits")
     side = lambda name, p: nodes.select(F.col("node").alias(name), *(F.col(f).alias(p + f) for f in prints))
     apart = distance([F.col("x" + f) for f in prints], [F.col("y" + f) for f in prints])
     near = (
         hits.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         .join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= most).select("a", "b"))
     star = staged(verify(near), "simhash-star")
-    if hits.where("held > 1").isEmpty():
+    if hits.where(pair).isEmpty():
         return star
     joined = components(star).select("node", "component")
-    shared = hits.where("held > 1").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shared = hits.where(pair).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     count = shared.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("stored").alias("any"))
     mixed = count.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"), F.max("any").alias("any")).where("kinds > 1 and any").select("key", "main")
     left = staged(shared.join(mixed, "key").select("key", "node", "stored", "component", (F.col("component") != F.col("main")).alias("rest")).join(side("node", "x"), "node"), "simhash-rest")
