@@ -59,7 +59,9 @@ def with_measures(docs: DataFrame, text: str = "text", lost: float = LOST, prefi
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns, their text without the lines that fail and, where there is an n_chars, its new length."""
-    df = with_measures(docs, text, prefix="__clean_").where("__clean_kept").withColumn(text, F.col("__clean_clean"))
+    # the row number keeps the condition above the measures: pushed below them, it would repeat each as often as others use it
+    df = with_measures(docs, text, prefix="__clean_").withColumn("__clean_row", F.monotonically_increasing_id())
+    df = df.where(F.col("__clean_kept") & (F.col("__clean_row") >= 0)).withColumn(text, F.col("__clean_clean"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
