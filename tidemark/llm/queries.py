@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_classifier
-from .common import load
+from .common import WORD, load
 from .decontamination import contaminated
-from .line_cleaning import with_measures
+from .line_cleaning import BOILERPLATE, LOST, SYMBOL, with_measures
 from .line_dedup import line_duplicates
 from .mixing import mix
 from .near_dup import near_duplicates
@@ -71,4 +71,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, pipeline)}
-ORACLES: dict[str, str] = {}
+COUNT = "len(regexp_extract_all(x, '{}'))".format
+FAILS = f"""({COUNT("[|»›]")} >= 3 OR {COUNT(SYMBOL)} * 10 > length(x) OR ({COUNT(WORD)} >= 5 AND {COUNT("!")} * 3 > {COUNT(WORD)})
+ OR ({COUNT(WORD)} >= 5 AND {COUNT(r"\p{Lu}")} * 5 > {COUNT(r"\p{L}")} * 3) OR ({COUNT(WORD)} >= 12 AND len(list_distinct(regexp_extract_all(x, '{WORD}'))) * 3 < {COUNT(WORD)}) OR regexp_matches(x, '{BOILERPLATE}'))"""
+OP10_SQL = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY 1),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{SYMBOL}')) AS n_symbols, list_filter(l, lambda x: regexp_matches(x, '{WORD}')) AS full_lines,
+ coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, list_filter(l, lambda x: NOT {FAILS}) AS good FROM w LEFT JOIN c USING (doc_id)),
+k AS (SELECT *, length(regexp_replace(array_to_string(good, chr(10)), '[\\x20\\x09-\\x0D]+', '', 'g')) AS kept_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+ base_failed, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - len(good) AS BIGINT) AS n_lines_removed, CAST(kept_chars AS BIGINT) AS kept_chars, NOT base_failed AND word_chars - kept_chars <= word_chars * {LOST} AS kept FROM k"""
+
+ORACLES: dict[str, str] = {"op10_line_cleaning": OP10_SQL}
