@@ -41,7 +41,8 @@ def read_nrrd(spark: SparkSession, path: str, with_data: bool = True) -> DataFra
                     rows.append({"path": p, "error": None} | parse(content, with_data))
                 except Exception as e:  # what can't be read is a row with its error
                     rows.append({"path": p, "error": f"{type(e).__name__}: {e}"[:200]})
-            yield pd.DataFrame(rows, columns=["path", "error", "dimension", "sizes", "space", "directions", "data"]).astype({"dimension": "Int32"})
+            names = ["path", "error", "dimension", "sizes", "space", "directions", "data"]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n == "dimension" else object) for n in names})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nrrd").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
