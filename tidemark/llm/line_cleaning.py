@@ -14,17 +14,26 @@ LOST = 0.5
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "kept_chars", "kept")
 
 
-def fails(line: Column) -> Column:
-    """Whether a line is to go: navigation (three bars or more), signs on a tenth of its characters, shouting (signs of exclamation on
-    over a third of ten or more words, or most letters capital in five words or more), few different words, notices."""
-    n = F.regexp_count(line, F.lit(WORD))
+def may_hold_boilerplate(body: Column) -> Column:
+    """False only for texts without a match of BOILERPLATE: each of its phrases holds one of these."""
+    low = F.lower(body)
+    return any_of(low.contains(x) for x in ("rights reserved", "ed under", "terms of", "policy", "cookie", "javascript", "click here", "sign up", "log in", "subscribe", "share on", "skip to", "copyright"))
+
+
+def fails(line: Column, words: Column, bars: Column, symbols: Column, shouts: Column, notices: Column) -> Column:
+    """Whether a line, of these words, is to go: navigation (three bars or more), signs on a tenth of its characters, shouting (signs of exclamation on
+    over a third of ten or more words, or most letters capital in five words or more), few different words, notices.
+
+    bars, symbols, shouts, notices: whether the document may have a line for the rule at all; most have not, and their lines skip it. If
+    most letters are capital, two in a row are, or the only one is: the letters are counted only then."""
+    n = F.size(words)
     return any_of([
-        F.regexp_count(line, F.lit(r"[|»›]")) >= 3,
-        F.regexp_count(line, F.lit(SYMBOL)) * 10 > F.length(line),
-        (n >= 5) & (F.regexp_count(line, F.lit("!")) * 3 > n),
-        (n >= 5) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 5 > F.regexp_count(line, F.lit(r"\p{L}")) * 3),
-        (n >= 12) & (F.size(F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))) * 3 < n),
-        line.rlike(BOILERPLATE),
+        bars & (F.regexp_count(line, F.lit(r"[|»›]")) >= 3),
+        symbols & (F.regexp_count(line, F.lit(SYMBOL)) * 10 > F.length(line)),
+        (n >= 5) & shouts & (F.regexp_count(line, F.lit("!")) * 3 > n),
+        (n >= 5) & line.rlike(r"\p{Lu}\P{L}*\p{Lu}|^\P{L}*\p{Lu}\P{L}*$") & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 5 > F.regexp_count(line, F.lit(r"\p{L}")) * 3),
+        (n >= 12) & (F.size(F.array_distinct(words)) * 3 < n),
+        notices & line.rlike(BOILERPLATE),
     ])
 
 
@@ -39,13 +48,16 @@ def with_measures(docs: DataFrame, text: str = "text", lost: float = LOST, prefi
     c = lambda name: F.col(f"{prefix}{name}")
     put = lambda df, **cols: df.withColumns({f"{prefix}{k}": v for k, v in cols.items()})
     df = put(docs, body=F.coalesce(F.col(text), F.lit("")))
-    df = put(df, words=F.regexp_extract_all(c("body"), F.lit(WORD), F.lit(0)), lines=F.split(c("body"), "\n"))
-    df = put(df, n_words=F.size(c("words")).cast("long"), n_lines=F.size(c("lines")).cast("long"), word_chars=F.aggregate(c("words"), F.lit(0).cast("long"), lambda a, w: a + F.length(w)), n_symbols=F.regexp_count(c("body"), F.lit(SYMBOL)).cast("long"), full=F.filter(c("lines"), lambda x: x.rlike(WORD)), good=F.filter(c("lines"), lambda x: ~fails(x)))
+    df = put(df, lines=F.split(c("body"), "\n"), n_symbols=F.regexp_count(c("body"), F.lit(SYMBOL)).cast("long"), notices=may_hold_boilerplate(c("body")), shouts=c("body").contains("!"), bars=any_of(c("body").contains(x) for x in "|»›"))
+    df = put(df, by_line=F.transform(c("lines"), lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))  # no word spans a line's end
+    df = put(df, words=F.flatten(c("by_line")), full=F.filter(c("lines"), lambda x, i: F.size(F.get(c("by_line"), i)) > 0), good=F.filter(c("lines"), lambda x, i: ~fails(x, F.get(c("by_line"), i), c("bars"), c("n_symbols") > 0, c("shouts"), c("notices"))))
+    df = put(df, n_words=F.size(c("words")).cast("long"), n_lines=F.size(c("lines")).cast("long"), word_chars=F.length(F.array_join(c("words"), "")).cast("long"))
     # windows of three words by hash; only where one repeats are they put in order, to find the words that repeated ones cover
     w = c("words")
     grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = put(df, n_dup_lines=(F.size(c("full")) - F.size(F.array_distinct(c("full")))).cast("long"), grams=grams, clean=F.array_join(c("good"), "\n"), n_lines_removed=c("n_lines") - F.size(c("good")))
-    df = put(df, sorted=F.when(F.size(F.array_distinct(c("grams"))) < F.size(c("grams")), F.array_sort(F.transform(c("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")), kept_chars=F.length(F.regexp_replace(c("clean"), r"[\x20\x09-\x0D]+", "")).cast("long"))
+    df = put(df, n_dup_lines=(F.size(c("full")) - F.size(F.array_distinct(c("full")))).cast("long"), grams=grams, n_lines_removed=c("n_lines") - F.size(c("good")))
+    df = put(df, clean=F.when(c("n_lines_removed") == 0, c("body")).otherwise(F.array_join(c("good"), "\n")))
+    df = put(df, sorted=F.when(F.size(F.array_distinct(c("grams"))) < F.size(c("grams")), F.array_sort(F.transform(c("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")), kept_chars=F.when(c("n_lines_removed") == 0, c("word_chars")).otherwise(F.length(F.regexp_replace(c("clean"), r"[\x20\x09-\x0D]+", "")).cast("long")))
     s = c("sorted")
     twice = F.filter(s, lambda e, j: F.coalesce(e["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get(s, j + 1)["h"], F.lit(False)))
     df = put(df, places=F.array_sort(F.transform(twice, lambda e: e["i"])))
@@ -54,7 +66,7 @@ def with_measures(docs: DataFrame, text: str = "text", lost: float = LOST, prefi
     df = put(df, n_repeat_words=F.aggregate(c("covers"), F.lit(0).cast("long"), lambda a, x: a + x))
     df = put(df, base_failed=(c("n_words") < 50) | (c("n_repeat_words") * 100 > c("n_words") * 50))
     df = put(df, kept=~c("base_failed") & (c("word_chars") - c("kept_chars") <= c("word_chars") * lost))
-    return df.drop(*(f"{prefix}{x}" for x in ("body", "words", "lines", "full", "good", "grams", "sorted", "places", "covers")))
+    return df.drop(*(f"{prefix}{x}" for x in ("body", "words", "lines", "by_line", "bars", "shouts", "notices", "full", "good", "grams", "sorted", "places", "covers")))
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
