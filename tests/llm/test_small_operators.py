@@ -306,3 +306,23 @@ def test_token_counts(spark, rule):
         assert sum(r.n_tokens for r in rows) == len(ids) and sum(r.n_chars for r in rows) == len(whole)
     assert sum(r.n_tokens for r in got[None]) == len(enc.encode_ordinary("\nx\ny"))
     assert token_counts(docs.limit(0), path, pattern).count() == 0
+
+
+def test_whole_line_duplicates(spark):
+    """From 20 characters on, nearly every pair by edit similarity alone: no filter of bits in the brute force."""
+    rng = random.Random(12)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    for k in range(150):
+        line = [letters() for _ in range(rng.choice([6, 10, 20, 60]))]
+        other = list(line)
+        for at in rng.sample(range(len(line)), max(1, len(line) // 8)):
+            other[at] = letters()
+        pairs.append((" ".join(line), " ".join(other)))
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) >= 20 and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8]
+    docs = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_duplicates(df, least_chars=20).collect()}
+    found = sum(got[2 * i + 1] == [0] for i in range(len(pairs)))
+    assert len(pairs) > 100 and found >= 0.95 * len(pairs) and not any(got[2 * i] for i in range(len(pairs)))
+    assert line_duplicates(df.limit(0), least_chars=20).count() == 0

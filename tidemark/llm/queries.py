@@ -10,7 +10,7 @@ from . import language_id, quality_classifier
 from .common import WORD, load
 from .decontamination import contaminated
 from .line_cleaning import BOILERPLATE, LOST, SYMBOL, with_measures
-from .line_dedup import line_duplicates
+from .line_dedup import LEAST_CHARS, line_duplicates
 from .mixing import mix
 from .near_dup import near_duplicates
 from .sharding import shard
@@ -38,7 +38,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(load(spark, sf_dir, "documents"))
+    return line_duplicates(load(spark, sf_dir, "documents"), least_chars=LEAST_CHARS)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
