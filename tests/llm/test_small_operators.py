@@ -309,7 +309,7 @@ def test_token_counts(spark, rule):
 
 
 def test_whole_line_duplicates(spark):
-    """From 20 characters on, nearly every pair by edit similarity alone: no filter of bits in the brute force."""
+    """Every exact copy and, from 20 characters on, nearly every pair by edit similarity alone: no filter of bits in the brute force."""
     rng = random.Random(12)
     letters = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9)))
     pairs = []
@@ -321,8 +321,12 @@ def test_whole_line_duplicates(spark):
         pairs.append((" ".join(line), " ".join(other)))
     pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) >= 20 and 1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8]
     docs = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    base = 1000
+    docs += [(base, "Share on\n" + han), (base + 1, "share ON!\n" + han), (base + 2, "\n...\n" + han[:50] + "一丁" + han[52:]), (base + 3, "share it\nhome"), (base + 4, "homes")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.dropped for r in line_duplicates(df, least_chars=20).collect()}
     found = sum(got[2 * i + 1] == [0] for i in range(len(pairs)))
     assert len(pairs) > 100 and found >= 0.95 * len(pairs) and not any(got[2 * i] for i in range(len(pairs)))
+    assert [got[base + i] for i in range(5)] == [[], [0, 1], [2], [], []]
     assert line_duplicates(df.limit(0), least_chars=20).count() == 0
