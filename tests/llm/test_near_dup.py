@@ -95,3 +95,24 @@ def test_five_word_stage_parameters(spark):
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(word() for _ in range(300)))], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 5, 6, 26, 58).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_similar_documents_against_exact_sets(spark):
+    from tidemark.llm.near_dup import similar_documents
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    docs, want = [(900, None), (901, ""), (902, " "), (None, "a b")], {900: 900, 901: 900, 902: 900, None: None}
+    for k in range(60):  # similarities from some 0.7 to 0.9: edits that lie apart each change five shingles
+        a = [word() for _ in range(300)]
+        b = list(a)
+        for at in range(5, 5 + 10 * (3 + k % 9), 10):
+            b[at] = word()
+        sets = [{tuple(x[i:i + 5]) for i in range(296)} for x in (a, b)]
+        near = len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (not near)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
+    assert got == want and 10 < sum(want[2 * k + 1] == 2 * k for k in range(60)) < 50
+    assert similar_documents(df.limit(0)).count() == 0

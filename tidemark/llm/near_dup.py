@@ -106,3 +106,59 @@ def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> Data
     if twice.isEmpty():
         return kept
     return join_checked(kept, twice, key, "left_anti").unionByName(join_checked(kept, twice, key, "left_semi").dropDuplicates([key]))
+
+
+def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, whole, keys): a hash of the set of each text's shingles, and `bands` keys, each of `rows` minima of the set (none without words)."""
+    draw = np.random.default_rng(SEED)
+    turn, times = (draw.integers(0, 1 << 64, bands * rows, dtype=np.uint64) for _ in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, keys = [], []
+            for value in batch.column(1):
+                own = np.unique(np.array(shingle_hashes(value.as_py(), shingle), np.uint64))
+                whole.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(own), 1024):
+                    least = np.minimum(least, ((own[at: at + 1024, None] ^ turn) * (times | np.uint64(1))).min(axis=0))
+                keys.append([xxhash.xxh64_intdigest(least[b * rows: (b + 1) * rows].tobytes(), b) for b in range(bands)] if len(own) else [])
+            signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "whole", "keys"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, whole long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): the set of the shingles' hashes of each row of docs (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(np.array(shingle_hashes(x.as_py(), shingle), np.uint64)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, held array<long>")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id), a row for each row of docs: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
+
+    A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
+    themselves decide. Equal sets are one node, of which one text is looked up. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
+    found = staged(shingle_sketches(docs, shingle, bands, rows, key, text), "sketches")
+    nodes = staged(found.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("keys").alias("keys")), "sketch-nodes")
+    known = nodes.where("node is not null")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "sketch-pairs")
+        wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sketch-wanted")
+        texts = join_checked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")), wanted, "node")
+        sets = staged(shingle_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(least >= most * alike).where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
+
+    linked = components(links(known.select("node", "keys"), F.col("keys"), None, 0, 0, verify))
+    groups = nodes.join(linked, "node", "left").where("n > 1 or component is not null").select("whole", F.coalesce("component", "node").alias("component"))
+    return join_checked(found.select("doc_id", "whole"), staged(groups, "sketch-groups"), "whole", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
