@@ -37,8 +37,8 @@ def targets(sizes: DataFrame, share: float, cycle: tuple[float, ...], most: int)
     return full.withColumn("target", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.col("weight") * rest)).select("skey", "source_size", "target")
 
 
-def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, cycle: tuple[float, ...] = CYCLE, most: int = 2, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), a row for each row of docs.
+def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, cycle: tuple[float, ...] = CYCLE, most: int = 2, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), and `row` if given, a column that tells rows apart; a row for each row of docs.
 
     Pareto order sampling: a document is to appear target / (weighted size of its source) times its weight (1 unless
     given), `most` at most. The whole part of that is certain copies. Its fraction p is the odds of one more: documents of
@@ -51,9 +51,10 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     A null text has size 0 and is taken 0 words; a null source is a source of its own; rows that are equal count each; ties of rank go by
     id and size; an empty table gives no rows; columns beside these are ignored."""
     size = n_words(text) if size is None else size
+    carried = [] if row is None else [row]
     base = docs.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"),
-        F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("skey"), uniform(F.lit(seed), F.col(key)).alias("u"))
+        F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("skey"), uniform(F.lit(seed), F.col(key)).alias("u"), *carried)
     base = staged(base, "mix-sizes")
     sizes = base.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("weight") * F.col("size")).alias("weighted"))
     sizes = staged(sizes, "mix-sources")
@@ -89,4 +90,4 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     below = F.col("more") & (beyond & p.__gt__(0) | (F.col("step") < F.col("cut_step")) | (F.col("step") == F.col("cut_step")) & (F.col("cell") < F.col("cut_cell")))
     others = cut.where(~F.coalesce(split, F.lit(False))).withColumn("once", F.coalesce(below, F.lit(False)))
     copies = F.col("whole") + F.col("once").cast("long")
-    return sorted_cell.unionByName(others).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sorted_cell.unionByName(others).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carried)
