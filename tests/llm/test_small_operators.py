@@ -330,3 +330,16 @@ def test_whole_line_duplicates(spark):
     assert len(pairs) > 100 and found >= 0.95 * len(pairs) and not any(got[2 * i] for i in range(len(pairs)))
     assert [got[base + i] for i in range(5)] == [[], [0, 1], [2], [], []]
     assert line_duplicates(df.limit(0), least_chars=20).count() == 0
+
+
+def test_contaminated_where_every_fourth_word_is_changed(spark):
+    rng = random.Random(10)
+    rows, items = [], []
+    for i in range(8):
+        item = [f"word{chr(97 + i)}{k}" for k in range(40)]
+        items.append((i, " ".join(item)))
+        copy = [f"other{rng.randrange(10**6)}" if k % 4 == i % 4 else w for k, w in enumerate(item)]
+        rows += [(2 * i, " ".join(copy)), (2 * i + 1, " ".join(item[i % 4:i % 4 + 3]))]  # the copy, and a document that has one n-gram
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got == {(2 * i, i) for i in range(8)}

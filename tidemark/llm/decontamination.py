@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import staged
 from .words import coded_words, compact, slices, spread, word_hashes
 
-#: Words of a seed, and consecutive n-grams of an item of which the rarest is one.
-GRAM, TILE = 3, 2
+#: Words of a seed.
+GRAM = 3
 MATCH, MISS, GAP = 2, -1, -1
 #: Share of the best possible score of an item's own words from which a passage counts as its copy.
 LEAST = 0.5
@@ -158,18 +158,12 @@ def passages(items: Items, hashes: np.ndarray, ends: np.ndarray) -> list[tuple[i
     return [(t, i, s, -a, -b) for (t, i), (s, a, b) in sorted(out.items())]
 
 
-def rare_grams(items: Items, used: dict[int, int]) -> set[int]:
-    """Seeds: of each TILE n-grams in a row of an item the one that fewest documents have (ties: the first).
+def held_grams(items: Items, used: dict[int, int]) -> set[int]:
+    """Seeds: the n-grams of the items that any document has.
+
+    So a copy that leaves GRAM words in a row unchanged holds a seed of its item, however common the item is."""
+    return {h for h in items.gram.tolist() if used.get(h, 0)}
 
-    So a copy that leaves GRAM + 2 * TILE - 2 words in a row unchanged holds a seed of its item, however common the item is."""
-    of = np.empty(len(items.item), np.uint64)
-    for g in range(len(items.gram)):
-        of[items.first[g]: items.first[g + 1]] = items.gram[g]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for h, i, k in zip(of.tolist(), items.item.tolist(), items.at.tolist(), strict=True):
-        tile = (i, k // TILE)
-        best[tile] = min(best.get(tile, (1 << 62, 0, 0)), (used.get(h, 0), k, h))
-    return {h for _, _, h in best.values()}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -177,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     score is the best local alignment's, over that of the whole item; pairs from LEAST on count. Words are compared by their letters and digits
     in lower case. Two passes over all documents: the first counts, for each n-gram of the items, the
-    documents that have it; the second looks the rarest ones up and aligns around them. Items go to the tasks, in blocks of
+    documents that have it; the second looks those up that any has and aligns around them. Items go to the tasks, in blocks of
     BLOCK_WORDS words, and documents stay where they are, so neither a passage that many documents hold
     nor a long document gathers anywhere.
 
@@ -215,7 +209,7 @@ def _block(texts: DataFrame, items: Items, rows: list) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], ["gram", "n"])
 
     used = staged(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts").collect()  # a row an n-gram of the block at most
-    seeds = items_of([r.id for r in rows], [r.text for r in rows], rare_grams(items, {int(items.gram[r.gram]): r.n for r in used}))
+    seeds = items_of([r.id for r in rows], [r.text for r in rows], held_grams(items, {int(items.gram[r.gram]): r.n for r in used}))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
