@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm.components import components
 from tidemark.llm.near_dup import majority_bits, near_duplicates, one_of_each, shingle_hashes
-from tidemark.llm.simhash_links import links, segment_keys
+from tidemark.llm.simhash_links import fingerprint_groups
 
 
 def plain(text, k=3):
@@ -69,7 +69,7 @@ def test_links_lose_nothing(spark):
             prints.append(p)
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "node long, f0 long")
-    got = {r.node: r.component for r in components(links(nodes, *segment_keys(1, 32), 1, 3)).collect()}
+    got = {r.node: r.component for r in fingerprint_groups(nodes).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == brute(range(len(prints)), prints)
 
 
@@ -82,9 +82,21 @@ def test_components(spark):
 
 def test_one_of_each_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d", "p"), (1, "a b c d", "p"), (2, "a b c d", "q"), (3, "z", "r")], "doc_id long, text string, f0 string")
-    assert sorted(r.doc_id for r in one_of_each(docs, near_duplicates(docs)).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in one_of_each(docs, near_duplicates).collect()) == [1, 3]
     none = docs.limit(0)
-    assert one_of_each(none, near_duplicates(none)).count() == 0
+    assert one_of_each(none, near_duplicates).count() == 0
+
+
+def test_rows_without_an_id_are_linked_and_go(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, long, 1), (7, long, 2), (None, long + " x", 3), (None, "only", 4), (None, "only", 5), (8, "p q r", 6), (8, "s t u", 7), (None, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f0 int").coalesce(1)
+    from tidemark.llm.near_dup import similar_documents
+
+    for find in (near_duplicates, similar_documents):
+        assert sorted(r.f0 for r in one_of_each(docs, find).collect()) == [2, 4, 6, 7, 9], find
+    got = sorted((r.f0, r.component_id) for r in near_duplicates(docs.withColumnRenamed("f0", "n"), row="n").select("component_id", "n").withColumnRenamed("n", "f0").collect())
+    assert got == [(1, 7), (2, 7), (3, 7), (4, None), (5, None), (6, 8), (7, 8), (8, 9), (9, 9)]
 
 
 def test_five_word_stage_parameters(spark):

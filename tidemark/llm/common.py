@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,9 +23,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where it is unset (tests, local mode), an own one."""
+    """The folder all executors share, from spark.checkpoint.dir. In local mode, and only there, it may be unset: then it is an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
             atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -46,11 +48,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """staged(df) and its number of rows, taken while they are written; a task that runs twice may count twice, so it is a bound where it isn't 0."""
+    seen = Observation()
+    return staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Joins with right sent to every executor if it has at most `most` rows, else by a shuffle, whose hot keys AQE splits.
 
-    right must be cheap to count: a staged table or a small aggregate."""
-    small = right.limit(most + 1).count() <= most
+    rows: how many right has, if known; else it is counted, so it must be cheap to count: a staged table or a small aggregate."""
+    small = (right.limit(most + 1).count() if rows is None else rows) <= most
     return left.join(F.broadcast(right) if small else right, on, how)
 
 

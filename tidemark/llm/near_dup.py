@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, staged
-from .components import components
-from .simhash_links import links, segment_keys
+from .common import counted, join_checked, staged
+from .simhash_links import fingerprint_groups, key_groups
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -60,12 +59,13 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndar
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, f0, f1, ...): the SimHash of each whole text, 64 bits a column. A null text or one without words has zeros."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, f0, f1, ...) and `row` if given: the SimHash of each whole text, 64 bits a column. A null text or one without words has zeros."""
+    names = ["doc_id", *([row] if row else []), *(f"f{w}" for w in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, here = batch.column(0), batch.column(1), 0
+            texts, here = batch.column(0), 0
             while here < len(texts):
                 hashes: list[int] = []
                 counts: list[int] = []
@@ -74,59 +74,81 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "
                     counts.append(len(own))
                     hashes += own
                 prints = majority_bits(np.array(hashes, np.uint64), np.array(counts, np.int64), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([keys.slice(here, len(counts)), *(pa.array(prints[:, w]) for w in range(words))], ["doc_id", *(f"f{w}" for w in range(words))])
+                part = batch.slice(here, len(counts))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(prints[:, w]) for w in range(words))], names)
                 here += len(counts)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"f{w} long" for w in range(words)))
+    own = docs.select(F.col(text).cast("string").alias("text"), *carried(key, row))
+    return own.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, width: int = 32, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f0, ..., component_id), a row for each row of docs.
+def carried(key: str, row: str | None) -> list:
+    return [F.col(key).cast("long").alias("doc_id"), *([F.col(row).cast("long")] if row else [])]
 
-    component_id is the smallest doc_id that a document reaches over links, itself included; fingerprints that
+
+def with_groups(rows: DataFrame, nodes: DataFrame, found: DataFrame, by: list[str], row: str | None) -> DataFrame:
+    """(doc_id, by, component_id, group) and `row` if given, for each of rows: its group, and the smallest doc_id there.
+
+    nodes: (node, by, id, n), a row for each class of equal rows; found: (node, component) of linked nodes."""
+    joint = nodes.join(found, "node", "left").where("n > 1 or component is not null").withColumn("group", F.coalesce("component", "node"))
+    joint = staged(joint.select(*by, "id", "group"), "near-classes")
+    least = joint.groupBy("group").agg(F.min("id").alias("component_id"))
+    groups, n = counted(joint.join(least, "group").select(*by, "group", "component_id"), "near-groups")
+    out = join_checked(rows, groups, by, "left", rows=n)
+    return out.select("doc_id", *([row] if row else []), *by, F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, width: int = 32, most: int = 3, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, f0, ..., component_id, group) and `row` if given, a column of docs that tells rows apart; a row for each row of docs.
+
+    group is null for a row that is like no other, else the same for all that a document reaches over links, and component_id the smallest doc_id there, its
+    own included; fingerprints that
     differ in `most` bits or fewer are linked. With 4 * words > most every such link counts; beyond that, those that agree up to
     one bit in a segment. Equal fingerprints are one node, so groups of copies cost nothing more. Null and
-    empty texts share the fingerprint zero and are linked like any other; rows of one doc_id each keep their row; a null
-    doc_id belongs to the rows of its own fingerprint (null if they have no other); an empty table gives no rows;
+    empty texts share the fingerprint zero and are linked like any other; rows of one doc_id each keep their row; rows with a null
+    doc_id are linked like others (component_id is null if all rows of a group have none); an empty table gives no rows;
     other columns are ignored."""
     prints = [f"f{w}" for w in range(words)]
-    rows = staged(fingerprints(docs, shingle, words, key, text), "simhash")
-    nodes = staged(rows.groupBy(*prints).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "simhash-nodes")
-    found = components(links(nodes.where("node is not null").drop("n"), *segment_keys(words, width), words, most))
-    groups = nodes.join(found, "node", "left").where("n > 1 or component is not null").select(*prints, F.coalesce("component", "node").alias("component"))
-    groups = staged(groups, "simhash-groups")
-    return join_checked(rows, groups, prints, "left").select("doc_id", *prints, F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the documents whose component_id is another's id, and without repeated rows of one id."""
-    spare = staged(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "spare")
-    kept = join_checked(docs, spare, key, "left_anti", 4_000_000)
-    twice = staged(groups.groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "twice")
-    if twice.isEmpty():
-        return kept
-    return join_checked(kept, twice, key, "left_anti").unionByName(join_checked(kept, twice, key, "left_semi").dropDuplicates([key]))
-
-
-def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, whole, keys): a hash of the set of each text's shingles, and `bands` keys, each of `rows` minima of the set (none without words)."""
+    rows = staged(fingerprints(docs, shingle, words, key, text, row), "simhash")
+    node = F.col("f0") if words == 1 else F.xxhash64(*prints)
+    nodes = staged(rows.groupBy(*prints).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).withColumn("node", node), "simhash-nodes")
+    return with_groups(rows, nodes, fingerprint_groups(nodes.drop("n", "id"), words, width, most), prints, row)
+
+
+def one_of_each(docs: DataFrame, find: Callable[..., DataFrame], **how) -> DataFrame:
+    """docs with one row of each group that find (near_duplicates or similar_documents, with the options `how`) gives: the smallest doc_id's, null last.
+
+    Of several rows of that id the first stored stays. All columns stay; an empty table gives no rows."""
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    groups = staged(find(rows, row="__row", **how).where("group is not null").select("doc_id", "__row", "group"), "near-found")
+    first = groups.groupBy("group").agg(F.min(order).alias("first"))
+    spare, n = counted(groups.join(first, "group").where(F.col("__row") != F.col("first.__row")).select("__row"), "near-spare")
+    return join_checked(rows, spare, "__row", "left_anti", rows=n).drop("__row")
+
+
+def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, whole, size, keys) and `row` if given: a hash of the set of each text's shingles, its size, and `bands` keys, each of `rows` minima of the set (none without words)."""
     draw = np.random.default_rng(SEED)
     turn, times = (draw.integers(0, 1 << 64, bands * rows, dtype=np.uint64) for _ in range(2))
+    names = ["doc_id", *([row] if row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, keys = [], []
-            for value in batch.column(1):
+            whole, size, keys = [], [], []
+            for value in batch.column(0):
                 own = np.unique(np.array(shingle_hashes(value.as_py(), shingle), np.uint64))
                 whole.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(own), 1024):
                     least = np.minimum(least, ((own[at: at + 1024, None] ^ turn) * (times | np.uint64(1))).min(axis=0))
                 keys.append([xxhash.xxh64_intdigest(least[b * rows: (b + 1) * rows].tobytes(), b) for b in range(bands)] if len(own) else [])
             signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], [*names, "whole", "size", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, whole long, keys array<long>")
+    own = docs.select(F.col(text).cast("string").alias("text"), *carried(key, row))
+    return own.mapInArrow(run, f"{', '.join(f'{n} long' for n in names)}, whole long, size long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -140,25 +162,25 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, held array<long>")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id), a row for each row of docs: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
+def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, whole, component_id, group) and `row` if given: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
 
     A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
-    themselves decide. Equal sets are one node, of which one text is looked up. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
-    found = staged(shingle_sketches(docs, shingle, bands, rows, key, text), "sketches")
-    nodes = staged(found.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("keys").alias("keys")), "sketch-nodes")
-    known = nodes.where("node is not null")
+    themselves decide. Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
+    at = row or "__row"
+    docs = docs if row else staged(docs.select(F.col(key), F.col(text), F.monotonically_increasing_id().alias(at)), "similar-rows")
+    found = staged(shingle_sketches(docs, shingle, bands, rows, key, text, at), "sketches")
+    nodes = found.groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min(at).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = staged(nodes.withColumn("whole", F.col("node")), "sketch-nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "sketch-pairs")
-        wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sketch-wanted")
-        texts = join_checked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")), wanted, "node")
-        sets = staged(shingle_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+        wanted, n = counted(wanted.select("node", F.col("row").alias(at)), "sketch-wanted")
+        texts = join_checked(docs.select(at, F.col(text).cast("string").alias("text")), wanted, at, rows=n)
+        sets = staged(shingle_sets(texts, shingle), "shingle-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-        least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
         shared = F.size(F.array_intersect("x", "y"))
-        return both.where(least >= most * alike).where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
+        return both.where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
 
-    linked = components(links(known.select("node", "keys"), F.col("keys"), None, 0, 0, verify))
-    groups = nodes.join(linked, "node", "left").where("n > 1 or component is not null").select("whole", F.coalesce("component", "node").alias("component"))
-    return join_checked(found.select("doc_id", "whole"), staged(groups, "sketch-groups"), "whole", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return with_groups(found.drop("keys", "size"), nodes.drop("keys", "row", "size"), key_groups(nodes.select("node", "size", "keys"), alike, verify), ["whole"], row)

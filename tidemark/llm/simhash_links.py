@@ -1,15 +1,19 @@
-"""Links between fingerprints by multi-index hashing, without all pairs of a group; DataFrame operations only."""
+"""Groups of fingerprints, and of nodes that share keys, without all pairs of a group; DataFrame operations only."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, staged
+from .common import counted, join_checked, staged
 from .components import components
 
+#: Parts (lowest bit, width) of a 32-bit segment. Of five, three differing bits leave two untouched.
+PARTS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+
 
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Differing bits of two fingerprints."""
@@ -40,42 +44,79 @@ def segment_keys(words: int, width: int) -> tuple[Column, Column]:
     return F.array(*own), F.flatten(F.array(*others))
 
 
-def links(nodes: DataFrame, own: Column, others: Column | None, words: int, most: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(a, b): links between the different fingerprints of nodes (node, f0, ...), enough to connect every two that differ in `most` bits or fewer.
+def other_parts(key: Column, print_: Column) -> Column:
+    """For a key of a fingerprint of one word in two segments of 32 bits: each two PARTS of the other segment.
 
-    own: the keys under which a fingerprint is stored; others: those under which it is looked up besides. Of two that
-    share a key, one stored there, the full distance decides, and then verify, which keeps some rows of (a, b). A key
-    that many share isn't expanded into pairs: first all its rows are compared with its smallest node, which
-    leaves dense groups connected; then only rows of different components are compared."""
-    prints = [f"f{w}" for w in range(words)]
-    verify = verify or (lambda pairs: pairs)
-    stored = nodes.select("node", F.explode(own).alias("key"))
-    lead = stored.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("held"))
-    rows = stored.withColumn("stored", F.lit(True))
-    if others is not None:
-        rows = rows.unionByName(nodes.select("node", F.explode(others).alias("key")).withColumn("stored", F.lit(False)))
-    else:
-        lead = staged(lead.where("held > 1"), "simhash-shared")  # the others' only row is the lead itself
-    pair = "held > 1" if others is not None else "held > 2"  # whether rows besides the lead can meet
-    hits = staged((rows.join(lead, "key") if others is not None else join_checked(rows, lead, "key")).where("node <> lead"), "simhash-hits")
-    side = lambda name, p: nodes.select(F.col("node").alias(name), *(F.col(f).alias(p + f) for f in prints))
-    apart = distance([F.col("x" + f) for f in prints], [F.col("y" + f) for f in prints])
-    near = (
-        hits.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        .join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= most).select("a", "b"))
-    star = staged(verify(near), "simhash-star")
-    if hits.where(pair).isEmpty():
-        return star
-    joined = components(star).select("node", "component")
-    shared = hits.where(pair).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    Two fingerprints with at most three differing bits that meet under a key share one of the ten."""
+    other = F.when(F.shiftrightunsigned(key, 32) == 0, F.shiftrightunsigned(print_, 32)).otherwise(print_.bitwiseAND(F.lit((1 << 32) - 1)))
+    part = [F.shiftrightunsigned(other, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in PARTS]
+    return F.array(*(F.lit(i << 16).bitwiseOR(F.shiftleft(part[a], 7)).bitwiseOR(part[b]) for i, (a, b) in enumerate(combinations(range(len(PARTS)), 2))))
+
+
+def apart_rows(hits: DataFrame, comp: DataFrame, stored: Column) -> tuple[DataFrame, int]:
+    """hits with `component` and `rest`, whether a row is outside its key's largest component, of the keys in which rows of different components meet, one of them stored."""
+    shared = hits.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("stored", stored)
     count = shared.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("stored").alias("any"))
     mixed = count.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"), F.max("any").alias("any")).where("kinds > 1 and any").select("key", "main")
-    left = staged(shared.join(mixed, "key").select("key", "node", "stored", "component", (F.col("component") != F.col("main")).alias("rest")).join(side("node", "x"), "node"), "simhash-rest")
-    if left.isEmpty():
-        return star
-    y = left.where("stored").select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("rest").alias("rest_b"), *(F.col("x" + f).alias("y" + f) for f in prints))
-    different = (F.col("component") != F.col("other")) & (apart <= most)
-    first = left.where("rest").join(y, "key").where(different)
-    second = left.where("not rest").join(y.where("rest_b"), "key").where(different)
-    rest = first.select(F.col("node").alias("a"), "b").unionByName(second.select(F.col("node").alias("a"), "b"))
-    return star.unionByName(verify(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    return counted(shared.join(mixed, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main"), "links-apart")
+
+
+def met(left: DataFrame, on: list[str], names: list[str], condition: Column) -> DataFrame:
+    """Rows of left beside the stored ones (their columns after y_) that share `on`: each row of the rest with all, each other one with the rest only."""
+    y = left.where("stored").select(*on, *(F.col(n).alias(f"y_{n}") for n in (*names, "rest")))
+    return left.where("rest").join(y, on).where(condition).unionByName(left.where("not rest").join(y.where("y_rest"), on).where(condition))
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp (node, component) after edges (a, b) between its components, or nodes that it lacks, are added."""
+    more = components(edges)
+    up = more.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    every = comp.unionByName(more.select("node", F.col("node").alias("component")))
+    return staged(every.join(up, "component", "left").groupBy("node").agg(F.min(F.coalesce("above", "component")).alias("component")), "merged")
+
+
+def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most: int = 3) -> DataFrame:
+    """(node, component): for each node that is linked, the smallest node that it reaches; nodes (node, f0, ...) are different fingerprints.
+
+    Two are linked if they share a segment up to one bit and differ in `most` bits or fewer in all. A segment's value that many have isn't expanded into
+    pairs: first all its rows are compared with its smallest node, which leaves dense groups connected; then only
+    rows of different components are compared, with words of 64 bits and three bits only those that share two parts of the other segment as well."""
+    prints = [f"f{w}" for w in range(words)]
+    own, others = segment_keys(words, width)
+    stored = nodes.select("node", *prints, F.explode(own).alias("key"))
+    lead = stored.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("lead"), F.count("*").alias("held"))
+    rows = stored.withColumn("stored", F.lit(True)).unionByName(nodes.select("node", *prints, F.explode(others).alias("key")).withColumn("stored", F.lit(False)))
+    hits = staged(rows.join(lead, "key").where(F.col("node") != F.col("lead.node")), "simhash-hits")
+    near = distance([F.col(f) for f in prints], [F.col(f"lead.{f}") for f in prints]) <= most
+    comp = components(hits.where(near).select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
+    left, n = apart_rows(hits.where("held > 1").select("node", *prints, "key", "stored"), comp, F.col("stored"))
+    if not n:
+        return comp
+    on = ["key"]
+    if words == 1 and width == 32 and most <= 3:
+        left, on = left.withColumn("part", F.explode(other_parts(F.col("key"), F.col("f0")))), ["key", "part"]
+    apart = distance([F.col(f) for f in prints], [F.col(f"y_{f}") for f in prints]) <= most
+    pairs = met(left, on, [*prints, "component"], (F.col("component") != F.col("y_component")) & apart)
+    return merged(comp, pairs.select(F.col("component").alias("a"), F.col("y_component").alias("b")))
+
+
+def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component): for each node that is linked, the smallest node that it reaches, from nodes (node, size, keys).
+
+    Nodes that share a key are candidates if the smaller has at least `alike` times the other's size, and verify keeps some rows of (a, b). As above, a
+    key's rows are first compared with its smallest node, then those of different components with one another."""
+    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "keys-shared")
+    hits = staged(join_checked(rows, shared, "key", rows=n), "keys-hits")
+    lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"))
+    led = staged(hits.join(lead, "key").where("node <> lead.node"), "keys-led")
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike
+    comp = components(verify(led.where(fits(F.col("size"), F.col("lead.size"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()))
+    left, n = apart_rows(led.where("held > 2").select("node", "size", "key"), comp, F.lit(True))
+    if not n:
+        return comp
+    pairs = met(left, ["key"], ["node", "size", "component"], (F.col("component") != F.col("y_component")) & fits(F.col("size"), F.col("y_size")))
+    found = verify(pairs.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct())
+    for x in ("a", "b"):
+        found = found.join(comp.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+    return merged(comp, found)
