@@ -216,3 +216,69 @@ def test_runner_report_and_stream(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(n).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 10 and spark.table("w").count() == 3 and spark.table("s").first().n == 10
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_have_no_gaps_in_large_tables(spark, adaptive):
+    """Ranges are dealt once: rows in are rows out and numbers are 1 to n, however the ranges fall."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for n, parts, size in ((400_000, 16, "64m"), (2_000_000, 16, "1m"), (500_000, 7, "100k")):
+            for k, v in zip(old, (adaptive, parts, size), strict=True):
+                spark.conf.set(k, v)
+            ranked = C.dense_rank_by_range(spark.range(n).select(((F.col("id") * 7919) % n).alias("id")).repartition(9), F.col("id"))
+            got = ranked.agg(F.count("*").alias("n"), F.count_distinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("b"), F.count_if(F.col("number") != F.col("id") + 1).alias("wrong")).first()
+            assert tuple(got) == (n, n, 1, n, 0)
+            keys = spark.range(n // 8).select((F.col("id") * 3).alias("e"), (F.col("id") % 5).alias("v"))
+            assert C.renumber(keys.unionByName(keys.withColumn("v", F.col("v") + 7)), "e", "v", "M").select("new_entity").distinct().count() == n // 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_quantiles_of_large_groups(spark):
+    from tidemark.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.random(5000) * 100, "skewed": np.exp(rng.normal(size=4000) * 8), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.full(700, 3.5), "few": np.array([1.0, 2.0]), None: rng.normal(size=900), "huge": np.array([-1.7e308, 1.7e308] * 60 + [0.0] * 60)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("nothing", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.953, "f": 1.0}
+    for most, bins in ((100_000, 1024), (50, 8), (3, 16)):
+        got = {r.g: r for r in quantiles(df, ["g"], "v", shares, most, bins).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            want = np.percentile(vs, [100 * p for p in shares.values()]) if g != "huge" else [got[g][n] for n in shares]
+            assert [got[g][n] for n in shares] == pytest.approx(list(want), rel=1e-9, abs=1e-12), (g, most)
+    whole = quantiles(df, [], "v", {"m": 0.5}, 100, 8).first()
+    assert whole.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_rules_rolled_up_at_once_are_the_same(spark):
+    df = spark.createDataFrame([(i % 7, i, float(i % 13) if i % 5 else None) for i in range(90)], "e int, i int, v double")
+    rules = [K.Check("high", F.col("v") > 9, "block"), K.Check("a_low", F.col("v") < 2, "block"), K.Check("odd", F.col("v") % 2 == 1, "warn"), K.Check("off", F.lit(True), "block", enabled=False)]
+    long = K.run_checks(df, ["e", "i"], rules)
+    for keys in (["e"], ["e", "i"]):
+        assert sorted(map(tuple, K.roll_up_rules(df, keys, rules).collect())) == sorted(map(tuple, K.roll_up(long, keys).collect()))
+    names = ["high", "a_low", "odd", "off"]
+    assert sorted(map(tuple, K.severity_rules(df, "e", rules, names).collect())) == sorted(map(tuple, K.severity_matrix(long, "e", names).collect()))
+
+
+def test_normalised_arrays_with_mask_and_clip(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(3, 4, 60)], [bool(b) for b in rng.random(60) < 0.6]) for i in range(5)] + [(9, [2.0] * 4, [True] * 4), (10, [], []), (11, [-1.0, -2.0], [False, False])]
+    df = spark.createDataFrame(rows, "i int, v array<double>, m array<boolean>")
+    for mask in (None, "m"):
+        z = {r.i: r.z for r in L.zscore_values(df, "v", "z", mask, (-1.5, 2.0)).collect()}
+        p = {r.i: r.p for r in L.minmax_values(df, "v", "p", mask, 0.05, 0.9).collect()}
+        for i, v, m in rows:
+            v = np.array(v)
+            inside = np.array(m, bool) if mask else v > 0
+            want_z, want_p = np.zeros(len(v)), np.zeros(len(v))
+            if inside.any():
+                own = v[inside]
+                want_z[inside] = np.clip((own - own.mean()) / max(own.std(), 1e-8), -1.5, 2.0)
+                a, b = np.percentile(own, [5, 90])
+                want_p[inside] = (own - a) / (1e-8 if a == b else b - a)
+            assert z[i] == pytest.approx(list(want_z)) and p[i] == pytest.approx(list(want_p))

@@ -93,6 +93,23 @@ def roll_up(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(status(F.col("passed"), F.col("action")).alias("status"), F.count_if(~F.col("passed")).alias("n_failed"), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("unknown")).alias("reasons"))
 
 
+def roll_up_rules(rows: DataFrame, keys: Sequence[str], rules: Sequence[Check]) -> DataFrame:
+    """What roll_up gives of run_checks' rows, straight from rows: a count a rule, so no row becomes several."""
+    failed = {c.name: F.count_if(F.coalesce(c.fails, F.lit(False)) if c.enabled else F.lit(False)) for c in rules}
+    counts = rows.groupBy(*keys).agg(*(n.alias(f"__{name}") for name, n in failed.items()))
+    blocking = F.array_compact(F.array(*(F.when(F.col(f"__{c.name}") > 0, F.lit(c.name)) for c in sorted(rules, key=lambda c: c.name) if c.action == "block")))
+    total = sum((F.col(f"__{name}") for name in failed), F.lit(0).cast("long"))
+    reasons = F.array_join(blocking, ",")
+    state = F.when(F.size(blocking) > 0, "blocked").when(total > 0, "warned").otherwise("passed")
+    return counts.select(*keys, state.alias("status"), total.alias("n_failed"), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("unknown")).alias("reasons"))
+
+
+def severity_rules(rows: DataFrame, entity: str, rules: Sequence[Check], names: Sequence[str]) -> DataFrame:
+    """What severity_matrix gives of run_checks' rows, straight from rows."""
+    worst = lambda c: F.max(F.when(F.coalesce(c.fails, F.lit(False)) if c.enabled else F.lit(False), 1.0 if c.action == "block" else 0.5).otherwise(0.0))
+    return rows.groupBy(entity).agg(*(worst(c).alias(c.name) for c in rules if c.name in names))
+
+
 def issues_by_type(checks: DataFrame) -> DataFrame:
     """(check_name, n) of blocking issues of files."""
     return checks.where((F.col("level") == "file") & ~F.col("passed") & (F.col("action") == "block")).groupBy("check_name").agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import staged
+
 LEDGER = ("entity", "visit", "item", "reason", "source_type", "stage")
 
 
@@ -84,15 +86,16 @@ def renumber(visits: DataFrame, entity: str, visit: str, name: str, entity_order
 
 
 def dense_rank_by_range(keys: DataFrame, order: Column, number: str = "number") -> DataFrame:
-    """keys with their place from 1 in an order that is total over them."""
-    dealt = keys.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order")
-    dealt = dealt.withColumn("__id", F.monotonically_increasing_id())  # partition in the high bits, place in it in the low 33
-    part, place = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = dealt.withColumns({"__part": part, "__place": place})
+    """keys with their place from 1 in an order that is total over them.
+
+    Ranges are dealt, sorted and numbered in one job and written; the counts of the ranges come from what was written, so that both see the same ranges."""
+    dealt = keys.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").drop("__order")
+    dealt = staged(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranges")  # partition in the high bits, place in it in the low 33
+    dealt = dealt.select(*keys.columns, F.shiftrightunsigned("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return dealt.join(F.broadcast(offsets), "__part").withColumn(number, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before", "__id", "__order")
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(number, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
 
 
 def close_gaps(numbered: DataFrame, entity: str, old: str, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def growth(rows: DataFrame, entity: str, order: Sequence[str], value: str) -> DataFrame:
     """rows with the change from the entity's previous value, absolute and relative (null after a zero)."""
@@ -37,10 +39,8 @@ def split_growth(rows: DataFrame, relative: str) -> DataFrame:
 
 def first_against_last(rows: DataFrame, entity: str, order: Sequence[str], value: str, kind: str = "level") -> DataFrame:
     """Delta and ratio of an entity's last value to its first; a level is degraded below 0.9, any other metric changed by over 0.1."""
-    own = Window.partitionBy(entity).orderBy(*order)
-    back = Window.partitionBy(entity).orderBy(*(F.desc(c) for c in order))
-    ends = rows.withColumns({"__a": F.row_number().over(own), "__b": F.row_number().over(back)}).where("__a = 1 or __b = 1")
-    both = ends.groupBy(entity).agg(F.max(F.when(F.col("__a") == 1, F.col(value))).alias("baseline"), F.max(F.when(F.col("__b") == 1, F.col(value))).alias("final"), F.count("*").alias("__n")).where("__n = 2").drop("__n")
+    at = F.struct(*order)
+    both = rows.groupBy(entity).agg(F.min_by(value, at).alias("baseline"), F.max_by(value, at).alias("final"), F.count("*").alias("__n")).where("__n >= 2").drop("__n")
     ratio = F.try_divide(F.col("final"), F.col("baseline"))
     flag = (ratio < 0.9).alias("degraded") if kind == "level" else (F.abs(ratio - 1) > 0.1).alias("changed")
     return both.select(entity, "baseline", "final", (F.col("final") - F.col("baseline")).alias("delta"), ratio.alias("ratio"), flag)
@@ -66,14 +66,14 @@ def consecutive_dice(masks: DataFrame, entity: str, order: str, mask: str) -> Da
 
 
 def compare_masks(rows: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame:
-    """Two masks of a row: overlap, cells of either alone, difference of volume in % of the first (null if that is empty)."""
+    """Two masks of a row: overlap, cells of either alone, difference of volume, without its sign, in % of the first (null if that is empty)."""
     m = overlap(F.col(a), F.col(b), F.lit(0.0))
     n, k, both = m["a_voxels"], m["b_voxels"], m["overlap_voxels"]
-    return rows.select(*key, m["dice"].alias("dice"), m["jaccard"].alias("jaccard"), F.when(n > 0, 100.0 * (k - n) / n).alias("volume_difference_pct"), both.alias("overlap_voxels"), (n - both).alias("a_only_voxels"), (k - both).alias("b_only_voxels"))
+    return rows.select(*key, m["dice"].alias("dice"), m["jaccard"].alias("jaccard"), F.when(n > 0, 100.0 * F.abs(k - n) / n).alias("volume_difference_pct"), both.alias("overlap_voxels"), (n - both).alias("a_only_voxels"), (k - both).alias("b_only_voxels"))
 
 
 def mask_summary(compared: DataFrame, low: float = 0.85) -> DataFrame:
-    return compared.agg(F.count("*").alias("n"), F.avg("dice").alias("mean_dice"), F.stddev_pop("dice").alias("std_dice"), F.min("dice").alias("min_dice"), F.max("dice").alias("max_dice"), F.median("dice").alias("median_dice"), F.count_if(F.col("dice") < low).alias("n_low"), F.avg((F.col("dice") < low).cast("double")).alias("low_fraction"))
+    return compared.agg(F.count("*").alias("n"), F.avg("dice").alias("mean_dice"), F.stddev_pop("dice").alias("std_dice"), F.min("dice").alias("min_dice"), F.max("dice").alias("max_dice"), F.count_if(F.col("dice") < low).alias("n_low"), F.avg((F.col("dice") < low).cast("double")).alias("low_fraction")).join(quantiles(compared, [], "dice", {"median_dice": 0.5}), F.lit(True), "left")
 
 
 def consensus(voxels: DataFrame, group: Sequence[str], pos: str, member: str, inside: Column, votes: int) -> DataFrame:
@@ -126,14 +126,46 @@ def worst_of(rows: DataFrame, by: Sequence[str], value: Column, key: Sequence[st
 # arrays of numbers
 
 
-def zscore_array(values: Column, mean: Column, std: Column) -> Column:
-    return F.transform(values, lambda v: (v - mean) / F.greatest(std, F.lit(1e-8)))
+def array_mean(values: Column) -> Column:
+    """The mean; null for an empty array."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
+
+
+def array_quantile(ordered: Column, share: float) -> Column:
+    """A quantile, between two values by distance, of a sorted array; null for an empty one."""
+    at = F.lit(share) * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def inside_of(values: Column, mask: Column | None) -> Column:
+    """The values where the mask (array of booleans) holds, above zero without one."""
+    return F.filter(values, lambda v: v > 0) if mask is None else F.filter(values, lambda v, i: F.get(mask, i))
+
+
+def normalised_inside(values: Column, mask: Column | None, change) -> Column:
+    """values changed where the mask holds (above zero without one), 0 elsewhere."""
+    return F.transform(values, lambda v, i: F.when((v > 0) if mask is None else F.get(mask, i), change(v)).otherwise(0.0))
+
+
+def zscore_values(rows: DataFrame, values: str, out: str, mask: str | None = None, clip: tuple[float, float] | None = None, everywhere: bool = False) -> DataFrame:
+    """rows with `out`: the array less the mean and over the population deviation (1e-8 at least) of what is inside the mask, cut to clip; 0 outside.
+
+    everywhere: the mask is the whole array. A row's array is worked on where it is; nothing moves."""
+    v, m = F.col(values), F.col(mask) if mask else None
+    own = rows.withColumn("__in", v if everywhere else inside_of(v, m)).withColumn("__m", array_mean(F.col("__in")))
+    own = own.withColumn("__s", F.greatest(F.sqrt(array_mean(F.transform("__in", lambda x: (x - F.col("__m")) * (x - F.col("__m"))))), F.lit(1e-8)))
+    z = lambda x: (x - F.col("__m")) / F.col("__s")
+    cut = z if clip is None else lambda x: F.least(F.greatest(z(x), F.lit(clip[0])), F.lit(clip[1]))
+    return own.withColumn(out, F.transform(v, cut) if everywhere else normalised_inside(v, m, cut)).drop("__in", "__m", "__s")
 
 
-def minmax_array(values: Column, low: Column, high: Column) -> Column:
-    """Values where low is 0 and high is 1, not cut off; a hair is added where they are equal."""
-    width = F.when(high == low, F.lit(1e-8)).otherwise(high - low)
-    return F.transform(values, lambda v: F.when(v > 0, (v - low) / width).otherwise(0.0))
+def minmax_values(rows: DataFrame, values: str, out: str, mask: str | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """rows with `out`: the array with 0 at the low and 1 at the high quantile of what is inside the mask, not cut off, 0 outside; a hair is added where they are equal."""
+    v, m = F.col(values), F.col(mask) if mask else None
+    own = rows.withColumn("__in", F.sort_array(inside_of(v, m))).withColumn("__a", array_quantile(F.col("__in"), low)).withColumn("__b", array_quantile(F.col("__in"), high))
+    width = F.when(F.col("__a") == F.col("__b"), F.lit(1e-8)).otherwise(F.col("__b") - F.col("__a"))
+    return own.withColumn(out, normalised_inside(v, m, lambda x: (x - F.col("__a")) / width)).drop("__in", "__a", "__b")
 
 
 def pad_or_crop(size: Column, target: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def two_header_records(rows: DataFrame, index: str, columns: Sequence[str], id_header: str) -> DataFrame:
     """(id, record map<string,string>) of a table whose first two rows are headers; keys are "top/second", a top header holding until the next.
@@ -35,7 +37,7 @@ def empty_block(fields: Column) -> Column:
 def clinical_summary(rows: DataFrame, number: str, category: str, included: Column) -> DataFrame:
     """Counts, mean, sample deviation (0 for one) and median of the included, one row."""
     own = rows.where(included)
-    return own.agg(F.count("*").alias("n"), F.avg(number).alias("mean"), F.coalesce(F.stddev_samp(number), F.lit(0.0)).alias("std"), F.median(number).alias("median"), F.count_if(F.col(category).isNull()).alias("n_unknown"))
+    return own.agg(F.count("*").alias("n"), F.avg(number).alias("mean"), F.coalesce(F.stddev_samp(number), F.lit(0.0)).alias("std"), F.count_if(F.col(category).isNull()).alias("n_unknown")).join(quantiles(own, [], number, {"median": 0.5}), F.lit(True), "left").select("n", "mean", "std", "median", "n_unknown")
 
 
 def counted(rows: DataFrame, column: str, unknown: str = "unknown") -> DataFrame:

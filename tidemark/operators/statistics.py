@@ -1,4 +1,4 @@
-"""Robust statistics, outliers, signal measures and distributions by group; built-in aggregates and windows only."""
+"""Robust statistics, outliers, signal measures and distributions by group; built-in aggregates and windows only. Quantiles are exact, whatever a group's size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -14,16 +16,14 @@ def intensity(rows: DataFrame, by: Sequence[str], value: str, percentiles: Seque
     """Range, moments (population) and percentiles of a value, and the same of what is above zero."""
     v, above = F.col(value), F.when(F.col(value) > 0, F.col(value))
     out = rows.groupBy(*by).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"), F.percentile(v, list(percentiles)).alias("__p"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"),
         F.avg(above).alias("non_zero_mean"), F.stddev_pop(above).alias("non_zero_std"), F.avg((v != 0).cast("double")).alias("non_zero_fraction"))
-    return out.withColumns({f"p{round(100 * p)}": F.get("__p", i) for i, p in enumerate(percentiles)}).drop("__p")
+    return out.join(quantiles(rows, by, value, {f"p{round(100 * p)}": p for p in percentiles}), list(by))
 
 
 def with_percentiles(rows: DataFrame, by: Sequence[str], value: str, percentiles: dict[str, float]) -> DataFrame:
     """rows with their group's percentiles as columns: one aggregate, joined back by the group."""
-    names = list(percentiles)
-    stats = rows.groupBy(*by).agg(F.percentile(value, [percentiles[n] for n in names]).alias("__p")).select(*by, *(F.get("__p", i).alias(n) for i, n in enumerate(names)))
-    return rows.join(stats, list(by))
+    return rows.join(quantiles(rows, by, value, percentiles), list(by))
 
 
 def contrast_ratio(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -79,10 +79,10 @@ def zscore_outliers(rows: DataFrame, by: Sequence[str], value: str, most: float
 
 
 def mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, median, mad, n): the median and that of the distances from it, in two aggregates."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("median"))
-    apart = rows.join(middle, list(by)).groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"), F.count(value).alias("n"))
-    return apart
+    """(by, median, mad, n): the median and that of the distances from it."""
+    apart = with_percentiles(rows, by, value, {"median": 0.5}).withColumn("__apart", F.abs(F.col(value) - F.col("median")))
+    sizes = apart.groupBy(*by).agg(F.first("median").alias("median"), F.count(value).alias("n"))
+    return sizes.join(quantiles(apart, by, "__apart", {"mad": 0.5}), list(by)).select(*by, "median", "mad", "n")
 
 
 def mad_outliers(rows: DataFrame, by: Sequence[str], value: str, most: float = 3.5, least_rows: int = 1) -> DataFrame:
@@ -103,7 +103,7 @@ def group_summary(rows: DataFrame, by: Sequence[str], value: str, most: float =
 def unpivot_stats(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(axis, mean, std, min, max, median) of each column."""
     long = rows.unpivot([], list(columns), "axis", "v")
-    return long.groupBy("axis").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.median("v").alias("median"))
+    return long.groupBy("axis").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).join(quantiles(long, ["axis"], "v", {"median": 0.5}), "axis")
 
 
 def outlier_sweep(rows: DataFrame, key: str, columns: Sequence[str], least_rows: int = 10) -> DataFrame:

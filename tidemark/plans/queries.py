@@ -303,7 +303,7 @@ def pre_post_comparison(spark, d):
 # checks
 
 
-def _checks(spark, d):
+def _rules(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     q, p, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
     rules = [
@@ -312,6 +312,11 @@ def _checks(spark, d):
         K.Check("price", t < 2000, "block", "price below 2000", {"price": t}),
         K.Check("tax", F.col("l_tax") > 1, "block", enabled=False),
     ]
+    return rows, rules
+
+
+def _checks(spark, d):
+    rows, rules = _rules(spark, d)
     return K.run_checks(rows, ["o_custkey", "o_orderkey", "l_linenumber"], rules)
 
 
@@ -331,13 +336,14 @@ def checks_long(spark, d):
 
 @query(f"WITH {CHECKS} SELECT o_custkey, o_orderkey, status, CAST(n_failed AS BIGINT) AS n_failed, reasons FROM st")
 def checks_rollup(spark, d):
-    return K.roll_up(_checks(spark, d), ["o_custkey", "o_orderkey"])
+    rows, rules = _rules(spark, d)
+    return K.roll_up_rules(rows, ["o_custkey", "o_orderkey"], rules)
 
 
 @query(f"""WITH {CHECKS}, x AS (SELECT *, bool_or(status = 'blocked') OVER w AS hit, count(*) FILTER (status <> 'blocked') OVER w AS clean FROM st WINDOW w AS (PARTITION BY o_custkey))
 SELECT o_custkey, o_orderkey, CASE WHEN NOT hit THEN 'kept' WHEN clean < 2 THEN 'entity_removed' WHEN status = 'blocked' THEN 'visit_removed' ELSE 'kept' END AS fate FROM x""")
 def removal_decision(spark, d):
-    return K.removal(K.roll_up(_checks(spark, d), ["o_custkey", "o_orderkey"]), "o_custkey", 2).select("o_custkey", "o_orderkey", "fate")
+    return K.removal(checks_rollup(spark, d), "o_custkey", 2).select("o_custkey", "o_orderkey", "fate")
 
 
 @query(f"""WITH {CHECKS} SELECT check_name, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (passed) AS BIGINT) AS n_passed, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS n_failed, {q4('100.0 * count(*) FILTER (passed) / count(*)')} AS pass_rate FROM ck GROUP BY 1""")
@@ -353,7 +359,8 @@ def issues_by_type(spark, d):
 @query(f"""WITH {CHECKS}, s AS (SELECT o_custkey, check_name, CASE WHEN passed THEN 0.0 WHEN action = 'block' THEN 1.0 ELSE 0.5 END AS w FROM ck)
 SELECT o_custkey, {', '.join(f"CAST(max(w) FILTER (check_name = '{c}') AS DOUBLE) AS {c}" for c in ('quantity', 'discount', 'price'))} FROM s GROUP BY o_custkey""")
 def severity_matrix(spark, d):
-    return K.severity_matrix(_checks(spark, d), "o_custkey", ["quantity", "discount", "price"])
+    rows, rules = _rules(spark, d)
+    return K.severity_rules(rows, "o_custkey", rules, ["quantity", "discount", "price"])
 
 
 @query(f"""WITH {CHECKS}, n AS (SELECT *, TRY_CAST(nullif(regexp_extract(message, 'quantity ([0-9]+)', 1), '') AS DOUBLE) AS v FROM ck WHERE NOT passed)
@@ -536,7 +543,7 @@ COMPARED = """cm AS (SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))
 cd AS (SELECT *, CASE WHEN na + nb = 0 THEN 0.0 ELSE 2.0 * nb / (na + nb) END AS dice FROM cm)"""
 
 
-@query(f"""WITH {COMPARED} SELECT vec_id, {q4('dice')} AS dice, {q4('CASE WHEN na + nb = 0 THEN 0.0 ELSE nb / na END')} AS jaccard, {q4('100.0 * (nb - na) / nullif(na, 0)')} AS volume_difference_pct, CAST(nb AS BIGINT) AS overlap_voxels, CAST(na - nb AS BIGINT) AS a_only_voxels, CAST(0 AS BIGINT) AS b_only_voxels FROM cd""")
+@query(f"""WITH {COMPARED} SELECT vec_id, {q4('dice')} AS dice, {q4('CASE WHEN na + nb = 0 THEN 0.0 ELSE nb / na END')} AS jaccard, {q4('100.0 * abs(nb - na) / nullif(na, 0)')} AS volume_difference_pct, CAST(nb AS BIGINT) AS overlap_voxels, CAST(na - nb AS BIGINT) AS a_only_voxels, CAST(0 AS BIGINT) AS b_only_voxels FROM cd""")
 def mask_compare(spark, d):
     return big(rounded(_compared(spark, d), "dice", "jaccard", "volume_difference_pct"))
 
@@ -579,17 +586,14 @@ def label_volumes(spark, d):
 @query(f"""WITH {CELLS}, s AS (SELECT vec_id, avg(v) AS m, greatest(stddev_pop(v), 1e-8) AS s FROM ce GROUP BY 1) SELECT vec_id, CAST(pos AS BIGINT) AS pos, {q4('(v - m) / s')} AS z FROM ce JOIN s USING (vec_id)""")
 def zscore_normalize(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    stats = L.cells(rows, ["vec_id"], "e").groupBy("vec_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    out = rows.join(stats, "vec_id").select("vec_id", F.posexplode(L.zscore_array(F.col("e"), F.col("m"), F.col("s"))).alias("pos", "z"))
+    out = L.zscore_values(rows, "e", "z", everywhere=True).select("vec_id", F.posexplode("z").alias("pos", "z"))
     return big(rounded(out, "z"))
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT vec_id, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM ce WHERE v > 0 GROUP BY 1) SELECT vec_id, CAST(pos AS BIGINT) AS pos, {q4('CASE WHEN v > 0 THEN (v - a) / CASE WHEN a = b THEN 1e-8 ELSE b - a END ELSE 0 END')} AS v FROM ce JOIN s USING (vec_id)""")
 def percentile_minmax(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    p = L.cells(rows, ["vec_id"], "e").where("v > 0").groupBy("vec_id").agg(F.percentile("v", [0.01, 0.99]).alias("p"))
-    out = rows.join(p, "vec_id").select("vec_id", F.posexplode(L.minmax_array(F.col("e"), F.get("p", 0), F.get("p", 1))).alias("pos", "v"))
-    return big(rounded(out, "v"))
+    return big(rounded(L.minmax_values(rows, "e", "v").select("vec_id", F.posexplode("v").alias("pos", "v")), "v"))
 
 
 @query(f"""WITH m AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS dd, count(*) AS n FROM lineitem GROUP BY 1),
