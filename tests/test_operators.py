@@ -187,6 +187,9 @@ def test_nrrd_and_ledger(spark, tmp_path):
     ids = read_id_map(spark, str(tmp_path / "ids.json"))
     assert [tuple(r) for r in ids.collect()] == [("P1", "M-0001", "0", "M-0001-000")]
     assert json.loads(id_map_json(ids).first().value) == {"P1": {"new_id": "M-0001", "studies": {"0": "M-0001-000"}}}
+    more = ids.unionByName(spark.createDataFrame([("P2", "M-0002", "0", "M-0002-000"), ("P2", "M-0002", "4", "M-0002-001")], ids.schema))
+    id_map_json(more).write.text(str(tmp_path / "maps"))
+    assert sorted(map(tuple, read_id_map(spark, str(tmp_path / "maps"), lines=True).collect())) == sorted(map(tuple, more.collect()))
 
 
 def test_runner_report_and_stream(spark, tmp_path):
@@ -282,3 +285,83 @@ def test_normalised_arrays_with_mask_and_clip(spark):
                 a, b = np.percentile(own, [5, 90])
                 want_p[inside] = (own - a) / (1e-8 if a == b else b - a)
             assert z[i] == pytest.approx(list(want_z)) and p[i] == pytest.approx(list(want_p))
+
+
+def plain_sobel(v):
+    """By the definition: a difference along one axis, 1-2-1 sums along the others, borders repeated."""
+    total = np.zeros(v.shape)
+    p = np.pad(v, 1, mode="edge")
+    for axis in range(3):
+        for at in np.ndindex(*v.shape):
+            s = 0.0
+            for off in np.ndindex(3, 3, 3):
+                w = 1
+                for a in range(3):
+                    w *= (-1, 0, 1)[off[a]] if a == axis else (1, 2, 1)[off[a]]
+                s += w * p[tuple(at[a] + off[a] for a in range(3))]
+            total[at] += s * s
+    return np.sqrt(total)
+
+
+def test_image_measures_by_definition():
+    rng = np.random.default_rng(3)
+    v = rng.normal(5, 2, (6, 5, 7))
+    g = plain_sobel(v)
+    assert np.allclose(I.sobel(v), g)
+    n, edges = np.zeros(256), np.linspace(g[g > 0].min(), g[g > 0].max(), 257)
+    for x in g[g > 0].ravel():
+        n[min(np.searchsorted(edges, x, "right") - 1, 255)] += 1
+    p = n[n > 0] / n.sum()
+    assert I.gradient_entropy(v) == pytest.approx(-(p * np.log2(p)).sum()) and I.gradient_entropy(np.ones((3, 3, 3))) == 0.0
+    mask = np.zeros(v.shape, bool)
+    mask[1:5, 1:5, 1:6] = True
+    inner = np.zeros(v.shape, bool)
+    inner[2:4, 2:4, 2:5] = True
+    assert I.boundary_ratio(v, mask) == pytest.approx(g[mask & ~inner].mean() / g[inner].mean())
+    assert I.boundary_ratio(v, np.zeros(v.shape, bool)) == 0.0 and I.boundary_ratio(np.ones(v.shape), mask) == 0.0
+    big = rng.normal(100, 5, (24, 22, 26))
+    cells = np.concatenate([big[a][:, b][:, :, c].ravel() for a in (slice(10), slice(-10, None)) for b in (slice(10), slice(-10, None)) for c in (slice(10), slice(-10, None))])
+    above = big[big > np.percentile(big, 10)]
+    assert I.corner_snr(big) == pytest.approx(np.percentile(above, 75) / (cells.std() / np.sqrt(2 - np.pi / 2)))
+    assert I.corner_ratio(big) is None  # tissue in the corners
+    dark = big.copy()
+    for a in (slice(10), slice(-10, None)):
+        for b in (slice(10), slice(-10, None)):
+            for c in (slice(10), slice(-10, None)):
+                dark[a, b, c] = -3.0
+    assert I.corner_ratio(dark) == pytest.approx(3.0 / dark[dark > np.percentile(dark, 10)].mean())
+    cut = np.percentile(v[v > 0], 10)
+    assert I.corner_snr(v) == pytest.approx(v[v > cut].mean() / v[v <= cut].std())  # no room for cubes
+
+
+def test_image_checks(spark):
+    rng = np.random.default_rng(4)
+    v = np.abs(rng.normal(0, 1, 64)) * 50
+    rows = [("plain", v), ("zeros", np.zeros(64)), ("broken", np.where(np.arange(64) == 5, np.nan, v)), ("spike", np.where(np.arange(64) == 5, 1e5, v)), ("short", v[:10])]
+    df = spark.createDataFrame([(n, [float(x) for x in a]) for n, a in rows], "name string, data array<double>")
+    found = I.measure(df, ["name"], F.array(F.lit(4), F.lit(4), F.lit(4)), "data", I.CHECKED, cube=1)
+    checks = K.run_checks(found, ["name"], I.image_checks(F.lit(0.1), F.lit(100.0), I.motion_threshold(F.lit(0.5), F.lit(1.0))))
+    failed = {}
+    for r in checks.where("not passed").collect():
+        failed.setdefault(r.name, {})[r.check_name] = r.action
+    assert failed["zeros"] == {"contrast_detection": "warn"} and failed["broken"]["intensity_outliers"] == "block" and failed["spike"]["intensity_outliers"] == "warn"
+    assert "intensity_outliers" not in failed.get("plain", {}) and "short" not in failed
+    assert [*one(spark, *(I.motion_threshold(F.lit(3.0), F.lit(a)) for a in (1.0, 3.0, 10.0, 100.0)))] == pytest.approx([3.0, 3.0, 3.0 / 2.05, 1.2])
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "x"), (3, None)], "i int, k string")
+    known = spark.createDataFrame([("a", "one", None)], "name string, label string, none string")
+    assert sorted((r.i, r.label) for r in C.with_lookup(rows, "k", known.withColumn("name", F.upper("name")), "name", {"label": "?"}).collect()) == [(1, "one"), (2, "?"), (3, "?")]
+    got = {r.i: (r.label, r.rejected) for r in C.known_or_rejected(rows, "k", known, "name", "label", "No such").collect()}
+    assert got == {1: ("one", None), 2: (None, "No such: x"), 3: (None, "No such: none")}
+    assert [*one(spark, *(X.name_number(F.lit(x), {"First": 0, "Control 1": 1}) for x in (" first", "CONTROL 1", "else")))] == [0, 1, None]
+    now = spark.createDataFrame([("a", "0", "t1")], "e string, v string, i string")
+    gone = spark.createDataFrame([("a", "1", "t1"), ("b", "0", "t2"), ("a", "0", "t1")], "e string, v string, i string")
+    assert sorted(map(tuple, C.before_filter(now, gone, "e", "v", "i").collect())) == [("a", "0", "t1"), ("a", "1", "t1"), ("b", "0", "t2")]
+    issues = spark.createDataFrame([("a", "0"), ("a", "1"), ("a", "1"), ("b", "0")], "e string, v string")
+    assert [tuple(r) for r in C.issues_of_others(issues, now, "e", "v").collect()] == [("a", 2)]
+    post = spark.createDataFrame([(1, 5.0, 8.0), (2, 9.5, 0.0), (3, 1.0, 1.0)], "k int, snr double, size double")
+    base = spark.createDataFrame([(1, 10.0, 8.5), (2, 10.0, 0.0)], "k int, snr double, size double")
+    got = {r.k: r for r in L.against_baseline(post, base, ["k"], {"snr": "level", "size": "other"}).collect()}
+    assert got.keys() == {1, 2} and got[1].snr_degraded and not got[2].snr_degraded and not got[1].size_changed and got[2].size_ratio is None and got[1].snr_delta == -5.0

@@ -40,6 +40,12 @@ def normalize_id(raw: Column, prefix: str = "P") -> Column:
     return F.concat(F.lit(prefix), F.coalesce(F.nullif(bare, F.lit("")), F.lit("0")))
 
 
+def name_number(text: Column, numbers: Mapping[str, int]) -> Column:
+    """The number of a name in any case; null if it isn't known."""
+    known = F.create_map(*(F.lit(x) for name, n in numbers.items() for x in (name.lower(), n)))
+    return F.try_element_at(known, F.lower(F.trim(text)))
+
+
 def tolerant_id(raw: Column, known: Column, prefix: str = "P") -> Column:
     """A known original id first; else the normalised number, or the prefixed text where it is none."""
     digits = F.regexp_replace(F.trim(raw), f"^[{prefix.lower()}{prefix.upper()}]", "")

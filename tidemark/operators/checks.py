@@ -15,7 +15,7 @@ class Check:
 
     name: str
     fails: Column
-    action: str = "warn"
+    action: str | Column = "warn"
     message: str | Column = ""
     details: dict[str, Column] | None = None
     enabled: bool = True

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.staging import staged
+from tidemark.sources.staging import join_checked, staged
 
 LEDGER = ("entity", "visit", "item", "reason", "source_type", "stage")
 
@@ -157,3 +157,40 @@ def latest(states: DataFrame, key: Sequence[str], order: Sequence[Column | str])
 def next_step(done: Column, steps: Sequence[str]) -> Column:
     """The first configured step that the array of completed ones lacks; null if all are done."""
     return F.get(F.filter(F.array(*map(F.lit, steps)), lambda s: ~F.array_contains(done, s)), 0)
+
+
+def with_lookup(rows: DataFrame, key: str, known: DataFrame, known_key: str, columns: dict[str, object]) -> DataFrame:
+    """rows with columns of a table of known keys, each with its default where the key isn't known; a table that is small is sent, not shuffled."""
+    new = known.select(F.col(known_key).alias(key), F.lit(True).alias("__known"), *(F.col(c).alias(f"__{c}") for c in columns))
+    own = [c for c in rows.columns if c not in columns]
+    return join_checked(rows, new, key, "left").select(*own, *(F.when(F.col("__known"), F.col(f"__{c}")).otherwise(F.lit(d)).alias(c) for c, d in columns.items()))
+
+
+def known_or_rejected(rows: DataFrame, key: str, known: DataFrame, known_key: str, column: str, reason: str) -> DataFrame:
+    """rows with the known column and `rejected`: null, or the reason where the lower-case key is not known. Kept and rejected rows come of one table."""
+    lowered = rows.withColumn("__low", F.lower(key))
+    found = with_lookup(lowered, "__low", known.withColumn("__low_key", F.lower(known_key)), "__low_key", {column: None})
+    return found.drop("__low").withColumn("rejected", F.when(F.col(column).isNull(), F.concat(F.lit(f"{reason}: "), F.coalesce(F.col(key), F.lit("none")))))
+
+
+def by_new_id(records: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """records under their entity's new id, those that the id map knows; ids has old_entity and new_entity."""
+    pairs = ids.select(F.col("old_entity").cast("string").alias("__old"), "new_entity").distinct()
+    return records.join(pairs, F.col(key).cast("string") == F.col("__old")).drop("__old")
+
+
+def before_filter(current: DataFrame, rejected: DataFrame, entity: str, visit: str, item: str) -> DataFrame:
+    """(entity, visit, item): what was there before rows were rejected: those that are left, under their old ids, and the rejected ones."""
+    return current.select(entity, visit, item).unionByName(rejected.select(entity, visit, item)).distinct()
+
+
+def issues_of_others(issues: DataFrame, left: DataFrame, entity: str, visit: str, least: int = 2) -> DataFrame:
+    """(entity, n) of the entities with `least` issues or more on visits that are not left."""
+    gone = issues.select(entity, visit).join(left.select(entity, visit).distinct(), [entity, visit], "left_anti")
+    return gone.groupBy(entity).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def visits_per_entity(visits: DataFrame, entity: str, visit: str) -> DataFrame:
+    """One row: entities, visits, and mean, population deviation, least and most visits of an entity."""
+    each = visits.groupBy(entity).agg(F.count_distinct(visit).alias("n"))
+    return each.agg(F.count("*").alias("total_entities"), F.sum("n").alias("total_visits"), F.avg("n").alias("mean_visits"), F.stddev_pop("n").alias("std_visits"), F.min("n").alias("min_visits"), F.max("n").alias("max_visits"))

@@ -4,13 +4,15 @@ A volume is (shape array<int>, data array<float>) in row-major order; each row i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checks import Check
+
 
 def sobel(v: np.ndarray) -> np.ndarray:
     """Gradient magnitude by the separable Sobel stencil with reflected borders."""
@@ -72,21 +74,63 @@ def gradient_entropy(v: np.ndarray, bins: int = 256) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def corner_snr(v: np.ndarray, share: float = 0.1) -> float:
-    """The upper quartile's mean above the tenth percentile over the corners' deviation, corrected for magnitude noise; infinite without noise."""
-    k = [max(1, int(n * share)) for n in v.shape]
-    corners = [v[tuple(slice(None, c) if s else slice(-c, None) for c, s in zip(k, sides, strict=True))].ravel() for sides in np.ndindex(*(2,) * v.ndim)]
-    noise = np.concatenate(corners).std() / np.sqrt(2 - np.pi / 2)
+def corners(v: np.ndarray, cube: int) -> np.ndarray | None:
+    """The cells of the cubes in all corners; none where an axis has no room for two."""
+    if min(v.shape, default=0) < 2 * cube:
+        return None
+    return np.concatenate([v[tuple(slice(None, cube) if s else slice(-cube, None) for s in sides)].ravel() for sides in np.ndindex(*(2,) * v.ndim)])
+
+
+def background_ratio(v: np.ndarray) -> float:
+    """Mean above the tenth percentile of the positive values over the deviation of the rest; infinite without noise, 0 without either side."""
+    cut = np.percentile(v[v > 0], 10) if (v > 0).any() else 0
+    low, high = v[v <= cut], v[v > cut]
+    if not len(low) or not len(high):
+        return 0.0
+    return float(high.mean() / low.std()) if low.std() > 0 else float("inf")
+
+
+def corner_snr(v: np.ndarray, cube: int = 10) -> float:
+    """The upper quartile of what is above the tenth percentile over the corners' deviation, corrected for magnitude noise; infinite without noise.
+
+    Volumes without room for two cubes on an axis take background_ratio."""
+    cells = corners(v, cube)
+    if cells is None:
+        return background_ratio(v)
+    noise = cells.std() / np.sqrt(2 - np.pi / 2)
     above = v[v > np.percentile(v, 10)]
     signal = np.percentile(above, 75) if len(above) else 0.0
     return float(signal / noise) if noise > 0 else float("inf")
 
 
+def corner_ratio(v: np.ndarray, cube: int = 10, tissue: float = 0.05) -> float | None:
+    """Mean size of the corners over the mean above the tenth percentile; none for small volumes, without a foreground, or where
+    over half of the corners hold tissue, that is over `tissue` of the foreground's mean."""
+    cells = corners(v, cube)
+    above = v[v > np.percentile(v, 10)] if v.size else v
+    if cells is None or not len(above) or above.mean() == 0:
+        return None
+    size = np.abs(cells)
+    return None if (size > tissue * above.mean()).mean() > 0.5 else float(size.mean() / above.mean())
+
+
 def boundary_ratio(v: np.ndarray, mask: np.ndarray) -> float:
-    """Mean gradient on the mask's boundary over that in the whole volume."""
+    """Mean gradient on the mask's boundary over that inside it; 0 where either is empty or the inside is flat."""
     edge = mask & ~erode(mask)
+    inside = mask & ~edge
     g = sobel(v)
-    return float(g[edge].mean() / g.mean()) if edge.any() and g.mean() > 0 else 0.0
+    return float(g[edge].mean() / g[inside].mean()) if edge.any() and inside.any() and g[inside].mean() > 0 else 0.0
+
+
+def finite(f: Callable[[np.ndarray], float | None]) -> Callable[[np.ndarray], float | None]:
+    """The measure of the values that are finite; none where there are none."""
+    return lambda v: f(v[np.isfinite(v)]) if np.isfinite(v).any() else None
+
+
+def above_p99(v: np.ndarray) -> float | None:
+    """The largest value over the 99th percentile, if that is positive."""
+    p = np.percentile(v, 99)
+    return float(v.max() / p) if p > 0 else None
 
 
 def pad_crop(v: np.ndarray, target: tuple[int, ...]) -> np.ndarray:
@@ -100,25 +144,53 @@ def pad_crop(v: np.ndarray, target: tuple[int, ...]) -> np.ndarray:
     return v
 
 
-MEASURES: dict[str, Callable[[np.ndarray], float]] = {
-    "gradient_entropy": gradient_entropy, "corner_snr": corner_snr, "mean_gradient": lambda v: float(sobel(v).mean()),
-    "largest_component": lambda v: float(largest_component(v > 0).sum()), "eroded_cells": lambda v: float(erode(v > 0).sum()),
-}
+def measures(cube: int = 10) -> dict[str, Callable[[np.ndarray], float | None]]:
+    return {
+        "gradient_entropy": gradient_entropy, "corner_snr": lambda v: corner_snr(v, cube), "mean_gradient": lambda v: float(sobel(v).mean()),
+        "largest_component": lambda v: float(largest_component(v > 0).sum()), "eroded_cells": lambda v: float(erode(v > 0).sum()),
+        "boundary_ratio": lambda v: boundary_ratio(v, v > 0), "corner_ratio": lambda v: corner_ratio(v, cube),
+        "mean": lambda v: float(v.mean()), "std": lambda v: float(v.std()), "uniform_fraction": lambda v: float(np.unique(v, return_counts=True)[1].max() / v.size),
+        "n_nan": lambda v: float(np.isnan(v).sum()), "n_inf": lambda v: float(np.isinf(v).sum()), "above_p99": finite(above_p99),
+    }
+
+
+MEASURES = tuple(measures())
+#: What image_checks needs.
+CHECKED = ("corner_snr", "mean", "std", "uniform_fraction", "n_nan", "n_inf", "above_p99", "gradient_entropy", "mean_gradient", "corner_ratio")
+
+
+def motion_threshold(least: Column, anisotropy: Column) -> Column:
+    """The least gradient entropy, lowered for thick slices: from three times as thick on, by 0.15 a step, to 0.4 of it."""
+    return least * F.when(anisotropy > 3, F.greatest(F.lit(0.4), 1 / (1 + 0.15 * (anisotropy - 3)))).otherwise(1.0)
+
+
+def image_checks(least_snr: Column, most_above: Column, least_entropy: Column, least_spread: float = 0.1, most_uniform: float = 0.95, most_corner: float = 0.15, action: str = "warn") -> list[Check]:
+    """Checks of a volume's measures (columns named as in CHECKED): signal to noise, contrast, intensity outliers (always blocking for values that aren't finite), motion, ghosting."""
+    c = F.col
+    spread, broken = F.try_divide(c("std"), F.abs("mean")), (c("n_nan") > 0) | (c("n_inf") > 0)
+    return [
+        Check("snr_filtering", c("corner_snr") < least_snr, action, "Low signal to noise", {"snr": c("corner_snr"), "threshold": least_snr}),
+        Check("contrast_detection", (c("mean") == 0) | (spread < least_spread) | (c("uniform_fraction") > most_uniform), action, "Low contrast", {"std_ratio": spread, "uniform_fraction": c("uniform_fraction")}),
+        Check("intensity_outliers", broken | (c("above_p99") > most_above), F.when(broken, "block").otherwise(action), F.when(broken, "Values that are not finite").otherwise("Extreme values"), {"nan_count": c("n_nan"), "inf_count": c("n_inf"), "above_p99": c("above_p99")}),
+        Check("motion_artifact", (c("mean_gradient") > 0) & (c("gradient_entropy") < least_entropy), action, "Low gradient entropy", {"gradient_entropy": c("gradient_entropy"), "threshold": least_entropy}),
+        Check("ghosting_detection", c("corner_ratio") > most_corner, action, "Signal in the corners", {"ratio": c("corner_ratio")}),
+    ]
 
 
-def measure(volumes: DataFrame, keys: list[str], shape: Column, data: str, names: list[str]) -> DataFrame:
+def measure(volumes: DataFrame, keys: list[str], shape: Column, data: str, names: Sequence[str], cube: int = 10) -> DataFrame:
     """(keys, a column a measure) of each volume; null where the data do not fill the shape."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in volumes.select(*keys).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = measures(cube)
         for df in frames:
             out = df[keys].copy()
             rows = []
             for s, d in zip(df["__shape"], df[data], strict=True):
                 ok = d is not None and s is not None and int(np.prod(s)) == len(d)
                 v = np.asarray(d, float).reshape(tuple(s)) if ok else None
-                rows.append([MEASURES[n](v) if ok else None for n in names])
-            out[names] = pd.DataFrame(rows, index=out.index, columns=names, dtype=float)
+                rows.append([of[n](v) if ok else None for n in names])
+            out[list(names)] = pd.DataFrame(rows, index=out.index, columns=list(names), dtype=float)
             yield out
 
     return volumes.select(*keys, shape.alias("__shape"), F.col(data)).mapInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")

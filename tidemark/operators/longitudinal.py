@@ -46,6 +46,20 @@ def first_against_last(rows: DataFrame, entity: str, order: Sequence[str], value
     return both.select(entity, "baseline", "final", (F.col("final") - F.col("baseline")).alias("delta"), ratio.alias("ratio"), flag)
 
 
+def against_baseline(post: DataFrame, baseline: DataFrame, keys: Sequence[str], metrics: dict[str, str], percent: float = 10.0) -> DataFrame:
+    """(keys, and for each metric its delta, ratio and flag) of rows that have a baseline of the same keys.
+
+    metrics: name -> "level", degraded where the ratio falls under 1 - percent / 100, or any other kind, changed where it leaves 1 by more. Without a baseline value, or
+    with 0, ratio and flag are null."""
+    before = baseline.select(*keys, *(F.col(m).alias(f"__{m}") for m in metrics))
+    out = []
+    for m, kind in metrics.items():
+        ratio = F.try_divide(F.col(m), F.col(f"__{m}"))
+        flag = (ratio < 1 - percent / 100).alias(f"{m}_degraded") if kind == "level" else (F.abs(ratio - 1) > percent / 100).alias(f"{m}_changed")
+        out += [(F.col(m) - F.col(f"__{m}")).alias(f"{m}_delta"), ratio.alias(f"{m}_ratio"), flag]
+    return post.join(before, list(keys)).select(*keys, *out)
+
+
 def cells(rows: DataFrame, key: Sequence[str], values: str, inside: Column | None = None) -> DataFrame:
     """(key, pos, v): an array as a row a cell."""
     return rows.select(*key, F.posexplode(values).alias("pos", "v"))

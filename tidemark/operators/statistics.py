@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,42 @@ def background_snr(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return parts.withColumn("snr", F.when(F.col("noise") > 0, F.col("signal") / F.col("noise")).otherwise(0.0))
 
 
+def foreground_snr(rows: DataFrame, by: Sequence[str], value: str, share: float = 0.75) -> DataFrame:
+    """Mean over deviation, corrected for magnitude noise, of the values from a quantile of the positive ones on; 0 where they don't vary."""
+    v = F.col(value)
+    region = rows.join(quantiles(rows.where(v > 0), by, value, {"__from": share}), list(by)).where(v >= F.col("__from"))
+    parts = region.groupBy(*by).agg(F.avg(v).alias("roi_mean"), F.stddev_pop(v).alias("roi_std"), F.count("*").alias("n_roi"))
+    return parts.withColumn("snr_foreground", F.when(F.col("roi_std") > 0, F.col("roi_mean") / F.col("roi_std") * math.sqrt(2 / (4 - math.pi))).otherwise(0.0))
+
+
+def signal_measures(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Background and foreground signal to noise and contrast to noise side by side; null where one has no values."""
+    parts = [background_snr(rows, by, value).select(*by, F.col("snr").alias("snr_background")), foreground_snr(rows, by, value).select(*by, "snr_foreground"), cnr_bands(rows, by, value).select(*by, F.col("cnr").alias("cnr_high_low"))]
+    out = rows.select(*by).distinct()
+    for p in parts:
+        out = out.join(p, list(by), "left")
+    return out
+
+
+def stability(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, median, iqr) of the positive values."""
+    q = quantiles(rows.where(F.col(value) > 0), by, value, {"median": 0.5, "__a": 0.25, "__b": 0.75})
+    return q.select(*by, "median", (F.col("__b") - F.col("__a")).alias("iqr"))
+
+
+def stability_histogram(rows: DataFrame, by: Sequence[str], value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(by, bin, n, density) of the positive values between two of their quantiles; none where these are equal."""
+    positive = rows.where(F.col(value) > 0)
+    ranged = with_percentiles(positive, by, value, {"__lo": low, "__hi": high})
+    return binned(ranged, by, value, bins)
+
+
+def category_summary(rows: DataFrame, category: str, mean: str, std: str, k: float = 1.5) -> DataFrame:
+    """(category, mean_across, std_across, mean_std, lower, upper, n_outliers) of a mean and a deviation a row, with outliers of the means by IQR."""
+    flagged = iqr_outliers(rows, [category], mean, k)
+    return flagged.groupBy(category).agg(F.avg(mean).alias("mean_across"), F.stddev_pop(mean).alias("std_across"), F.avg(std).alias("mean_std"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.count_if("outlier").alias("n_outliers"))
+
+
 def cnr_bands(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Contrast to noise of the bands [p25, p50) and [p50, p75] of the positive values."""
     v = F.col(value)
@@ -130,6 +167,12 @@ def histogram(rows: DataFrame, by: Sequence[str], value: str, bins: int, low: fl
         rows = rows.join(bounds, list(by))
     else:
         rows = rows.withColumns({"__lo": F.lit(float(low)), "__hi": F.lit(float(high))})
+    return binned(rows, by, value, bins)
+
+
+def binned(rows: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFrame:
+    """(by, bin, n, density) of the values between a row's __lo and __hi."""
+    v = F.col(value)
     inside = rows.where((v >= F.col("__lo")) & (v <= F.col("__hi")) & (F.col("__hi") > F.col("__lo")))
     counted = inside.groupBy(*by, bin_of(v, F.col("__lo"), F.col("__hi"), bins).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))  # at most a row a bin

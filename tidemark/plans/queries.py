@@ -382,7 +382,15 @@ def orientation_consistency(spark, d):
     return K.one_value_check(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", ("P",))
 
 
-@query()
+HEAD_SQL = """WITH h AS (SELECT p_partkey, p_size * 8 AS a, p_size / 10.0 AS s, CASE WHEN p_partkey % 97 = 0 THEN 2 ELSE 3 END AS dim FROM part),
+m AS (SELECT *, least(1.0, s, 1.2) AS lo, greatest(1.0, s, 1.2) AS hi, least(a, 155) AS n, least(a * 1.0, a * s, 155 * 1.2) AS e0, greatest(a * 1.0, a * s, 155 * 1.2) AS e1, abs(s * 1.2) AS det FROM h),
+k AS (SELECT *, array_to_string(list_filter([CASE WHEN lo < 0.2 THEN 'spacing below minimum' END, CASE WHEN hi > 10.0 THEN 'spacing above maximum' END, CASE WHEN hi / lo > 20.0 THEN 'too anisotropic' END], lambda x: x IS NOT NULL), '; ') AS said FROM m),
+c AS (SELECT p_partkey, unnest([{'c': 'nrrd_header', 'f': dim <> 3, 'a': 'block', 'm': 'Not a volume in a known space'}, {'c': 'scout_localizer', 'f': n < 10 OR hi > 10.0, 'a': 'block', 'm': 'Scout or localizer'}, {'c': 'voxel_spacing', 'f': said <> '', 'a': 'warn', 'm': said},
+ {'c': 'affine', 'f': det < 1e-6 OR det > 1e6, 'a': 'block', 'm': 'Degenerate affine'}, {'c': 'fov_consistency', 'f': e1 / e0 > 5.0, 'a': 'block', 'm': 'Field of view ratio'}, {'c': 'fov_ratio', 'f': e1 / e0 > 3.0 AND e1 / e0 <= 5.0, 'a': 'warn', 'm': 'Field of view ratio'}, {'c': 'brain_coverage', 'f': e0 < 100.0, 'a': 'warn', 'm': 'Small extent'}], recursive := true) FROM k)
+SELECT p_partkey, c AS check_name, NOT f AS passed, CASE WHEN f THEN a ELSE 'warn' END AS action, CASE WHEN f THEN m ELSE '' END AS message FROM c"""
+
+
+@query(HEAD_SQL)
 def header_checks(spark, d):
     """Header rules over headers made of part sizes."""
     p = F.col("p_partkey")
@@ -391,6 +399,103 @@ def header_checks(spark, d):
     return K.run_checks(heads, ["p_partkey"], rules).select("p_partkey", "check_name", "passed", "action", "message")
 
 
+# lookups, comparisons and summaries
+
+
+@query("""SELECT doc_id, CASE lower(lang) WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 END AS number, CASE WHEN coalesce(lower(lang), '') NOT IN ('en', 'de', 'fr') THEN 'Unknown name: ' || coalesce(lang, 'none') END AS rejected FROM documents""")
+def study_lookup(spark, d):
+    names = spark.createDataFrame([("EN", 1), ("De", 2), ("fr", 3)], "name string, number int")
+    return C.known_or_rejected(table(spark, d, "documents").select("doc_id", "lang"), "lang", names, "name", "number", "Unknown name").select("doc_id", "number", "rejected")
+
+
+@query("""SELECT c_custkey, coalesce(n_name, 'unknown_site') AS site FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON c_nationkey = n_nationkey""")
+def site_lookup(spark, d):
+    known = table(spark, d, "nation").join(table(spark, d, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("site"))
+    return C.with_lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", known, "n_nationkey", {"site": "unknown_site"}).select("c_custkey", "site")
+
+
+@query(f"""WITH {NUMBERS} SELECT DISTINCT new_entity, c_custkey AS original_id, {q4('c_acctbal')} AS c_acctbal FROM customer JOIN ids ON c_custkey = o_custkey""")
+def clinical_by_new_id(spark, d):
+    ids = _ids(spark, d).select(F.col("o_custkey").alias("old_entity"), "new_entity")
+    return C.by_new_id(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", ids).select("new_entity", F.col("c_custkey").alias("original_id"), r4("c_acctbal").alias("c_acctbal"))
+
+
+@query(f"""WITH p AS (SELECT o_custkey, o_orderstatus, avg(o_totalprice) FILTER (o_orderdate < DATE '1995-06-01') AS b, avg(o_totalprice) FILTER (o_orderdate >= DATE '1995-06-01') AS a FROM orders GROUP BY ALL)
+SELECT o_custkey, o_orderstatus, {q4('a - b')} AS price_delta, {q4('a / nullif(b, 0)')} AS price_ratio, abs(a / nullif(b, 0) - 1) > 0.1 AS price_changed FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+def baseline_comparison(spark, d):
+    orders = table(spark, d, "orders")
+    mean = lambda rows: rows.groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("price"))
+    out = L.against_baseline(mean(orders.where("o_orderdate >= DATE '1995-06-01'")), mean(orders.where("o_orderdate < DATE '1995-06-01'")), ["o_custkey", "o_orderstatus"], {"price": "size"})
+    return rounded(out, "price_delta", "price_ratio")
+
+
+@query(f"""WITH e AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders GROUP BY o_custkey) SELECT CAST(count(*) AS BIGINT) AS total_entities, CAST(sum(n) AS BIGINT) AS total_visits, {q4('avg(n)')} AS mean_visits, {q4('stddev_pop(n)')} AS std_visits, CAST(min(n) AS BIGINT) AS min_visits, CAST(max(n) AS BIGINT) AS max_visits FROM e""")
+def visits_per_entity(spark, d):
+    return rounded(C.visits_per_entity(table(spark, d, "orders"), "o_custkey", "o_orderkey"), "mean_visits", "std_visits")
+
+
+PER_PART = "pp AS (SELECT l_returnflag, l_partkey, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {PER_PART}, q AS (SELECT l_returnflag, quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.75) AS b FROM pp GROUP BY 1)
+SELECT l_returnflag, {q4('avg(m)')} AS mean_across, {q4('stddev_pop(m)')} AS std_across, {q4('avg(s)')} AS mean_std, {q4('any_value(a - 1.5 * (b - a))')} AS lower, {q4('any_value(b + 1.5 * (b - a))')} AS upper, CAST(count(*) FILTER (m < a - 1.5 * (b - a) OR m > b + 1.5 * (b - a)) AS BIGINT) AS n_outliers FROM pp JOIN q USING (l_returnflag) GROUP BY 1""")
+def category_summary(spark, d):
+    each = table(spark, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s"))
+    return rounded(S.category_summary(each, "l_returnflag", "m", "s"), "mean_across", "std_across", "mean_std", "lower", "upper")
+
+
+POSITIVE = "e AS (SELECT event_type, value FROM events WHERE value > 0)"
+
+
+@query(f"""WITH {POSITIVE}, q AS (SELECT event_type, quantile_cont(value, 0.75) AS f FROM e GROUP BY 1), p AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM e JOIN q USING (event_type) WHERE value >= f GROUP BY 1)
+SELECT event_type, {q4('m')} AS roi_mean, {q4('s')} AS roi_std, CAST(n AS BIGINT) AS n_roi, {q4('CASE WHEN s > 0 THEN m / s * sqrt(2 / (4 - pi())) ELSE 0 END')} AS snr_foreground FROM p""")
+def foreground_snr(spark, d):
+    return rounded(S.foreground_snr(events(spark, d), ["event_type"], "value"), "roi_mean", "roi_std", "snr_foreground")
+
+
+@query(f"""WITH {POSITIVE}, q AS (SELECT event_type, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM e GROUP BY 1),
+p AS (SELECT event_type, avg(value) FILTER (value >= c) AS m, stddev_pop(value) FILTER (value <= p5) AS noise, stddev_pop(value) FILTER (value >= c) AS s, avg(value) FILTER (value >= a AND value < b) AS m1, avg(value) FILTER (value >= b AND value <= c) AS m2, var_pop(value) FILTER (value >= a AND value < b) AS v1, var_pop(value) FILTER (value >= b AND value <= c) AS v2 FROM e JOIN q USING (event_type) GROUP BY 1)
+SELECT event_type, {q4('CASE WHEN noise > 0 THEN m / noise ELSE 0 END')} AS snr_background, {q4('CASE WHEN s > 0 THEN m / s * sqrt(2 / (4 - pi())) ELSE 0 END')} AS snr_foreground, {q4('abs(m1 - m2) / nullif(sqrt(v1 + v2), 0)')} AS cnr_high_low FROM p""")
+def signal_measures(spark, d):
+    return rounded(S.signal_measures(events(spark, d), ["event_type"], "value"), "snr_background", "snr_foreground", "cnr_high_low")
+
+
+@query(f"""WITH {POSITIVE} SELECT event_type, {q4('median(value)')} AS median, {q4('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)')} AS iqr FROM e GROUP BY 1""")
+def intensity_stability(spark, d):
+    return rounded(S.stability(events(spark, d), ["event_type"], "value"), "median", "iqr")
+
+
+@query(f"""WITH {POSITIVE}, q AS (SELECT event_type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM e GROUP BY 1), h AS (SELECT event_type, least(floor((value - lo) / (hi - lo) * 32), 31) AS bin, count(*) AS n FROM e JOIN q USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY ALL)
+SELECT event_type, CAST(bin AS BIGINT) AS bin, CAST(n AS BIGINT) AS n, {q4('n / sum(n) OVER (PARTITION BY event_type)')} AS density FROM h""")
+def stability_histogram(spark, d):
+    return big(rounded(S.stability_histogram(events(spark, d), ["event_type"], "value", 32), "density"))
+
+
+VOLUME_SQL = """WITH ce AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+q AS (SELECT vec_id, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.99) AS p99, max(v) AS mx, avg(v) AS m, stddev_pop(v) AS s, max(n) AS u FROM (SELECT *, count(*) OVER (PARTITION BY vec_id, v) AS n FROM ce) GROUP BY 1),
+f AS (SELECT vec_id, stddev_pop(v) FILTER (corner) / sqrt(2 - pi() / 2) AS noise, quantile_cont(v, 0.75) FILTER (v > p10) AS signal, avg(abs(v)) FILTER (corner) AS ca, avg(v) FILTER (v > p10) AS fm FROM (SELECT *, pos IN (0, 3, 12, 15, 48, 51, 60, 63) AS corner FROM ce JOIN q USING (vec_id)) GROUP BY 1),
+t AS (SELECT vec_id, avg(CAST(abs(v) > 0.05 * fm AS INT)) AS tissue FROM ce JOIN f USING (vec_id) WHERE pos IN (0, 3, 12, 15, 48, 51, 60, 63) GROUP BY 1)
+SELECT vec_id, unnest([{'check_name': 'snr_filtering', 'passed': NOT (noise > 0 AND signal / noise < 1.2)}, {'check_name': 'contrast_detection', 'passed': NOT (m = 0 OR s / abs(m) < 2.0 OR u / 64 > 0.95)},
+ {'check_name': 'intensity_outliers', 'passed': NOT (p99 > 0 AND mx / p99 > 1.2)}, {'check_name': 'ghosting_detection', 'passed': NOT (tissue <= 0.5 AND ca / fm > 0.15)}], recursive := true) FROM q JOIN f USING (vec_id) JOIN t USING (vec_id)"""
+
+
+def _image_checks(spark, d):
+    rows = table(spark, d, "embeddings")
+    found = images.measure(rows, ["vec_id"], F.array(F.lit(4), F.lit(4), F.lit(4)), "embedding", images.CHECKED, cube=1)
+    return K.run_checks(found, ["vec_id"], images.image_checks(F.lit(1.2), F.lit(1.2), images.motion_threshold(F.lit(3.0), F.lit(5.0)), least_spread=2.0))
+
+
+@query(VOLUME_SQL)
+def image_checks(spark, d):
+    """Four of the five checks of embeddings as 4 x 4 x 4 volumes; the fifth needs a stencil."""
+    return _image_checks(spark, d).where("check_name <> 'motion_artifact'").select("vec_id", "check_name", "passed")
+
+
+@query()
+def motion_check(spark, d):
+    return _image_checks(spark, d).where("check_name = 'motion_artifact'").select("vec_id", "check_name", "passed", "action", "message")
+
+
 # records
 
 
@@ -499,9 +604,11 @@ def entropy(spark, d):
     return rounded(S.entropy(_hist(spark, d), ["event_type"]), "entropy")
 
 
-@query()
+@query(f"""WITH {HIST}, cu AS (SELECT event_type, bin, sum(density) OVER u AS w, sum(density * bin) OVER u AS m, sum(density * bin) OVER (PARTITION BY event_type) AS t FROM gr WINDOW u AS (PARTITION BY event_type ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+bt AS (SELECT event_type, bin, (t * w - m) * (t * w - m) / (w * (1 - w)) AS b FROM cu WHERE w > 1e-12 AND w < 1 - 1e-12)
+SELECT event_type, CAST(bin AS BIGINT) AS threshold_bin FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY b DESC, bin) AS r FROM bt) WHERE r = 1""")
 def otsu_threshold(spark, d):
-    return S.otsu(_hist(spark, d), ["event_type"], BINS)
+    return big(S.otsu(_hist(spark, d), ["event_type"], BINS))
 
 
 @query(f"""WITH s AS (SELECT l_returnflag, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem GROUP BY 1),
@@ -609,7 +716,7 @@ def composite_score_rank(spark, d):
 @query()
 def image_measures(spark, d):
     """Stencil measures of embeddings as 4 x 4 x 4 volumes."""
-    return images.measure(table(spark, d, "embeddings"), ["vec_id"], F.array(F.lit(4), F.lit(4), F.lit(4)), "embedding", list(images.MEASURES))
+    return images.measure(table(spark, d, "embeddings"), ["vec_id"], F.array(F.lit(4), F.lit(4), F.lit(4)), "embedding", images.MEASURES, cube=1)
 
 
 @query("""SELECT p_partkey, CAST(p_size * 8 AS BIGINT) AS size, CAST(greatest(240 - p_size * 8, 0) // 2 AS BIGINT) AS pad_before, CAST(greatest(240 - p_size * 8, 0) - greatest(240 - p_size * 8, 0) // 2 AS BIGINT) AS pad_after, CAST(greatest(p_size * 8 - 240, 0) // 2 AS BIGINT) AS crop_before, CAST(greatest(p_size * 8 - 240, 0) - greatest(p_size * 8 - 240, 0) // 2 AS BIGINT) AS crop_after,

@@ -39,14 +39,14 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_id_map(spark: SparkSession, path: str) -> DataFrame:
-    """(old_entity, new_entity, old_visit, new_visit) out of {old: {new_id, studies: {old: new}}}."""
+def read_id_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(old_entity, new_entity, old_visit, new_visit) out of {old: {new_id, studies: {old: new}}}, one map a file or, with lines, a line."""
     kind = "map<string,struct<new_id:string,studies:map<string,string>>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("old_entity", "e"))
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", kind)).alias("old_entity", "e"))
     return rows.select("old_entity", F.col("e.new_id").alias("new_entity"), F.explode("e.studies").alias("old_visit", "new_visit"))
 
 
 def id_map_json(ids: DataFrame) -> DataFrame:
-    """One row `value`, the nested JSON of an id map."""
-    each = ids.groupBy("old_entity", "new_entity").agg(F.map_from_entries(F.collect_list(F.struct("old_visit", "new_visit"))).alias("studies"))
-    return each.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("old_entity", F.struct(F.col("new_entity").alias("new_id"), "studies"))))).alias("value"))
+    """`value`, the JSON of one old entity's part of an id map in a row each; read_id_map reads such lines as well as a map in one text."""
+    each = ids.groupBy("old_entity", "new_entity").agg(F.map_from_entries(F.collect_list(F.struct("old_visit", "new_visit"))).alias("studies"))  # an entity's own visits
+    return each.select(F.to_json(F.map_from_entries(F.array(F.struct("old_entity", F.struct(F.col("new_entity").alias("new_id"), "studies"))))).alias("value"))
