@@ -159,7 +159,7 @@ def test_stencils():
     snake[1, 6] = snake[3, 0] = snake[5, 6] = True
     assert I.largest_component(snake).sum() == snake.sum()
     assert I.pad_crop(np.ones((238, 240, 157)), (240, 240, 155)).shape == (240, 240, 155)
-    assert I.corner_snr(np.zeros((4, 4, 4))) == float("inf")
+    assert I.corner_snr(np.zeros((4, 4, 4)), 2) == float("inf") and I.corner_snr(np.zeros((4, 4, 4))) == 0.0  # too small for cubes: no foreground
 
 
 def test_nrrd_and_ledger(spark, tmp_path):
@@ -340,7 +340,7 @@ def test_image_checks(spark):
     rows = [("plain", v), ("zeros", np.zeros(64)), ("broken", np.where(np.arange(64) == 5, np.nan, v)), ("spike", np.where(np.arange(64) == 5, 1e5, v)), ("short", v[:10])]
     df = spark.createDataFrame([(n, [float(x) for x in a]) for n, a in rows], "name string, data array<double>")
     found = I.measure(df, ["name"], F.array(F.lit(4), F.lit(4), F.lit(4)), "data", I.CHECKED, cube=1)
-    checks = K.run_checks(found, ["name"], I.image_checks(F.lit(0.1), F.lit(100.0), I.motion_threshold(F.lit(0.5), F.lit(1.0))))
+    checks = K.run_checks(found, ["name"], I.image_checks(F.lit(0.1), F.lit(2.0), I.motion_threshold(F.lit(0.5), F.lit(1.0))))
     failed = {}
     for r in checks.where("not passed").collect():
         failed.setdefault(r.name, {})[r.check_name] = r.action
