@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, join_checked, staged
+from .common import counted, join_checked, staged, with_rows
 from .simhash_links import fingerprint_groups, key_groups
 
 SEED = 42
@@ -119,7 +119,7 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame], **how) -> DataF
     """docs with one row of each group that find (near_duplicates or similar_documents, with the options `how`) gives: the smallest doc_id's, null last.
 
     Of several rows of that id the first stored stays. All columns stay; an empty table gives no rows."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    rows = with_rows(docs, "doc_id", "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     groups = staged(find(rows, row="__row", **how).where("group is not null").select("doc_id", "__row", "group"), "near-found")
     first = groups.groupBy("group").agg(F.min(order).alias("first"))
@@ -168,7 +168,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, ban
     A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
     themselves decide. Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
     at = row or "__row"
-    docs = docs if row else staged(docs.select(F.col(key), F.col(text), F.monotonically_increasing_id().alias(at)), "similar-rows")
+    docs = docs if row else with_rows(docs.select(key, text), key, "similar-rows")
     found = staged(shingle_sketches(docs, shingle, bands, rows, key, text, at), "sketches")
     nodes = found.groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min(at).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = staged(nodes.withColumn("whole", F.col("node")), "sketch-nodes")

@@ -14,6 +14,9 @@ from .components import components
 #: Parts (lowest bit, width) of a 32-bit segment. Of five, three differing bits leave two untouched.
 PARTS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 
+#: Shared keys, a number each, that are sent to every executor at most.
+SHARED_KEYS = 2_000_000
+
 
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Differing bits of two fingerprints."""
@@ -106,9 +109,9 @@ def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], Dat
     Nodes that share a key are candidates if the smaller has at least `alike` times the other's size, and verify keeps some rows of (a, b). As above, a
     key's rows are first compared with its smallest node, then those of different components with one another."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "keys-shared")
-    hits = staged(join_checked(rows, shared, "key", rows=n), "keys-hits")
-    lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"))
+    shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "keys-shared")
+    hits = staged(join_checked(rows, shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
+    lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("held"))
     led = staged(hits.join(lead, "key").where("node <> lead.node"), "keys-led")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike
     comp = components(verify(led.where(fits(F.col("size"), F.col("lead.size"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()))
