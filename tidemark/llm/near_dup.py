@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import counted, join_checked, staged, with_rows
 from .simhash_links import fingerprint_groups, key_groups
+from .words import slices
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -134,7 +135,7 @@ def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key:
     names = ["doc_id", *([row] if row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, text=0)):
             whole, size, keys = [], [], []
             for value in batch.column(0):
                 own = np.unique(np.array(shingle_hashes(value.as_py(), shingle), np.uint64))
@@ -155,7 +156,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, held): the set of the shingles' hashes of each row of docs (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             held = [np.unique(np.array(shingle_hashes(x.as_py(), shingle), np.uint64)).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
 

@@ -43,11 +43,12 @@ def spread(at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(at - ends + length, length) + np.arange(ends[-1])
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
-    """Parts of a batch with some most_bytes of text in their second column each; a longer text is a part of its own."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, most_bytes: int = 3 << 20, text: int = 1):
+    """Parts of a batch with some most_bytes of text in that column each; a longer text is a part of its own. What a part took is given back before the next."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     here = 0
     while here < batch.num_rows:
         upto = max(here + 1, int(np.searchsorted(size, (size[here - 1] if here else 0) + most_bytes, "right")))
         yield batch.slice(here, upto - here)
         here = upto
+        pa.default_memory_pool().release_unused()
