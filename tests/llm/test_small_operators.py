@@ -75,6 +75,8 @@ def test_shard(spark):
     stay = sum(more[r.doc_id] == r.shard for r in got if r.doc_id is not None)
     assert stay > 0.7 * len(rows)
     assert shard(docs.limit(0), 24, 8).count() == 0
+    with pytest.raises(ValueError, match="no room"):
+        ring(257, 256)
     nodes = ring(5, 10)
     plan = spill(nodes, [3] * 50, [30] * 5)
     assert sum(e - f for _, f, e, _ in plan) == 150 and all(sum(e - f for _, f, e, s in plan if s == k) == 30 for k in range(5))

@@ -16,6 +16,8 @@ PLACES, RUN_ROWS = 1 << 16, 20_000
 
 def ring(shards: int, virtual: int) -> list[tuple[int, int]]:
     """(place, shard) of each virtual node in order of place, by a hash of its shard and number; a place has one node."""
+    if shards * virtual > PLACES:
+        raise ValueError(f"{shards * virtual} virtual nodes have no room on {PLACES} places")
     nodes: dict[int, int] = {}
     for s in range(shards):
         for v in range(virtual):
