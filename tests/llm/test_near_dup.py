@@ -128,3 +128,30 @@ def test_similar_documents_against_exact_sets(spark):
     got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
     assert got == want and 10 < sum(want[2 * k + 1] == 2 * k for k in range(60)) < 50
     assert similar_documents(df.limit(0)).count() == 0
+
+
+def test_a_group_of_copies_about_the_threshold_loses_no_link(spark):
+    from tidemark.llm.near_dup import shared_rooms, similar_documents
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, texts = [word() for _ in range(220)], []
+    for _ in range(120):  # up to nine words changed: some are like the base, some only like each other, most like none
+        own = list(texts[-1] if texts and rng.random() < 0.2 else base)
+        for at in rng.sample(range(220), rng.randrange(10)):
+            own[at] = word()
+        texts.append(own)
+    sets = [{tuple(t[i:i + 5]) for i in range(216)} for t in texts]
+    alike = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = list(range(120))
+    for _ in range(120):
+        for i, j in alike:
+            group[i] = group[j] = min(group[i], group[j])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # narrow keys: every pair of the threshold or more shares one, so that the links alone are measured
+    got = {r.doc_id: r.component_id for r in similar_documents(df, bands=40, rows=3).collect()}
+    assert [got[i] for i in range(120)] == group and 10 < len(set(group)) < 110
+    numbers = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    rooms = {r.node: r.room for r in shared_rooms(spark.createDataFrame([(i, sorted(numbers[x] for x in s)) for i, s in enumerate(sets)], "node long, held array<long>"), 0.8).collect()}
+    assert all(rooms[x] >= len(sets[i] & sets[j]) for i, j in alike for x in (i, j)) and len(rooms) < 120
+    assert shared_rooms(spark.createDataFrame([], "node long, held array<long>"), 0.8).count() == 0

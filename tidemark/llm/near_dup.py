@@ -163,25 +163,41 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, held array<long>")
 
 
+def shared_rooms(sets: DataFrame, alike: float) -> DataFrame:
+    """(node, room): for sets (node, held) how many elements another of them holds as well; without those that so have too few to be like any.
+
+    Twice, as the sets that go leave others with elements of their own. Counts of elements meet before the shuffle."""
+    room = F.col("size") - F.coalesce("lone", F.lit(0))
+    for _ in range(2):
+        one = sets.select("node", F.explode("held").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        lone, n = counted(one.groupBy("node").agg(F.count("*").alias("lone")), "lone")
+        rest = join_checked(sets.withColumn("size", F.size("held")), lone, "node", "left", rows=n).where(room >= F.col("size") * alike)
+        sets = staged(rest.select("node", "held", room.alias("room")), "shared-sets")
+    return sets.select("node", "room")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, whole, component_id, group) and `row` if given: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
 
     A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
-    themselves decide. Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
+    themselves decide, and how much of a set no other of those left holds tells beforehand which pairs can't be alike. Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
     at = row or "__row"
     docs = docs if row else with_rows(docs.select(key, text), key, "similar-rows")
     found = staged(shingle_sketches(docs, shingle, bands, rows, key, text, at), "sketches")
     nodes = found.groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min(at).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = staged(nodes.withColumn("whole", F.col("node")), "sketch-nodes")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted, n = counted(wanted.join(nodes.select("node", "row"), "node").select("node", F.col("row").alias(at)), "sketch-wanted")
+        texts = join_checked(docs.select(at, F.col(text).cast("string").alias("text")), wanted, at, rows=n)
+        return staged(shingle_sets(texts, shingle), "shingle-sets")
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "sketch-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-        wanted, n = counted(wanted.select("node", F.col("row").alias(at)), "sketch-wanted")
-        texts = join_checked(docs.select(at, F.col(text).cast("string").alias("text")), wanted, at, rows=n)
-        sets = staged(shingle_sets(texts, shingle), "shingle-sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
 
-    return with_groups(found.drop("keys", "size"), nodes.drop("keys", "row", "size"), key_groups(nodes.select("node", "size", "keys"), alike, verify), ["whole"], row)
+    found_groups = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda wanted: shared_rooms(sets_of(wanted), alike))
+    return with_groups(found.drop("keys", "size"), nodes.drop("keys", "row", "size"), found_groups, ["whole"], row)

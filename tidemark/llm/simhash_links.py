@@ -17,6 +17,9 @@ PARTS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 #: Shared keys, a number each, that are sent to every executor at most.
 SHARED_KEYS = 2_000_000
 
+#: Nodes of a key's largest component that its other rows are compared with before all pairs that are left.
+LEADS = 4
+
 
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Differing bits of two fingerprints."""
@@ -103,23 +106,43 @@ def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most:
     return merged(comp, pairs.select(F.col("component").alias("a"), F.col("y_component").alias("b")))
 
 
-def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """comp (node, component) after the nodes of pairs (a, b) are linked."""
+    for x in ("a", "b"):
+        pairs = pairs.join(comp.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+    return merged(comp, pairs)
+
+
+def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame], rooms: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component): for each node that is linked, the smallest node that it reaches, from nodes (node, size, keys).
 
     Nodes that share a key are candidates if the smaller has at least `alike` times the other's size, and verify keeps some rows of (a, b). As above, a
-    key's rows are first compared with its smallest node, then those of different components with one another."""
+    key's rows are first compared with its smallest node. Those outside its largest component are compared with LEADS of that one's nodes, drawn by
+    hash, which links most of a group of near copies of which many are not like the first; then those still apart with all of other components.
+    rooms, for nodes that are sets of `size` elements, gives (node, room) for those of (node) that may be linked to another of them: room elements are
+    the most that it shares with one, so pairs for which that can't make a similarity (Jaccard) of `alike` are left out of the last step."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "keys-shared")
     hits = staged(join_checked(rows, shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
     lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("held"))
     led = staged(hits.join(lead, "key").where("node <> lead.node"), "keys-led")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike
+    either = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     comp = components(verify(led.where(fits(F.col("size"), F.col("lead.size"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()))
     left, n = apart_rows(led.where("held > 2").select("node", "size", "key"), comp, F.lit(True))
     if not n:
         return comp
-    pairs = met(left, ["key"], ["node", "size", "component"], (F.col("component") != F.col("y_component")) & fits(F.col("size"), F.col("y_size")))
-    found = verify(pairs.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct())
-    for x in ("a", "b"):
-        found = found.join(comp.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
-    return merged(comp, found)
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("o"), "node", "size")) for j in range(LEADS)]
+    leads = left.where("not rest").groupBy("key").agg(F.array(*drawn).alias("leads"))
+    near = left.where("rest").join(leads, "key").select("node", "size", F.explode("leads").alias("lead")).where(fits(F.col("size"), F.col("lead.size")))
+    comp = linked(comp, verify(near.select(*either("node", "lead.node")).distinct()))
+    left, n = apart_rows(left.select("node", "size", "key"), comp, F.lit(True))
+    if not n:
+        return comp
+    names, may = ["node", "size", "component"], (F.col("component") != F.col("y_component")) & fits(F.col("size"), F.col("y_size"))
+    if rooms:
+        room, n = counted(rooms(left.select("node").distinct()), "key-rooms")
+        left, names, both = join_checked(left, room, "node", rows=n), [*names, "room"], F.least("room", "y_room")
+        may &= both >= alike * (F.col("size") + F.col("y_size") - both)
+    pairs = met(left, ["key"], names, may)
+    return linked(comp, verify(pairs.select(*either("node", "y_node")).distinct()))
