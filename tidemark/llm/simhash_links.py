@@ -144,5 +144,9 @@ def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], Dat
         room, n = counted(rooms(left.select("node").distinct()), "key-rooms")
         left, names, both = join_checked(left, room, "node", rows=n), [*names, "room"], F.least("room", "y_room")
         may &= both >= alike * (F.col("size") + F.col("y_size") - both)
-    pairs = met(left, ["key"], names, may)
-    return linked(comp, verify(pairs.select(*either("node", "y_node")).distinct()))
+    own = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    left = left.join(own, "node")
+    y = left.select("key", *(F.col(n).alias(f"y_{n}") for n in (*names, "keys", "rest")))
+    once = (~F.col("y_rest") | (F.col("node") < F.col("y_node"))) & (F.array_min(F.array_intersect("keys", "y_keys")) == F.col("key"))  # under the least key that both have
+    pairs = left.where("rest").join(y, "key").where(may & once)
+    return linked(comp, verify(pairs.select(*either("node", "y_node"))))
