@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier
 from .common import WORD, load
 from .decontamination import contaminated
+from .filter_audit import audit
 from .line_cleaning import BOILERPLATE, LOST, SYMBOL, with_measures
 from .line_dedup import line_duplicates
 from .mixing import mix
@@ -64,13 +65,17 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_measures(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, op13_filter_audit, pipeline)}
 COUNT = "len(regexp_extract_all(x, '{}'))".format
 FAILS = f"""({COUNT("[|»›]")} >= 3 OR {COUNT(SYMBOL)} * 10 > length(x) OR ({COUNT(WORD)} >= 5 AND {COUNT("!")} * 3 > {COUNT(WORD)})
  OR ({COUNT(WORD)} >= 5 AND {COUNT(r"\p{Lu}")} * 5 > {COUNT(r"\p{L}")} * 3) OR ({COUNT(WORD)} >= 12 AND len(list_distinct(regexp_extract_all(x, '{WORD}'))) * 3 < {COUNT(WORD)}) OR regexp_matches(x, '{BOILERPLATE}'))"""
@@ -84,4 +89,19 @@ k AS (SELECT *, length(regexp_replace(array_to_string(good, chr(10)), '[\\x20\\x
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
  base_failed, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - len(good) AS BIGINT) AS n_lines_removed, CAST(kept_chars AS BIGINT) AS kept_chars, NOT base_failed AND word_chars - kept_chars <= word_chars * {LOST} AS kept FROM k"""
 
-ORACLES: dict[str, str] = {"op10_line_cleaning": OP10_SQL}
+OP13_SQL = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS c,
+ regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+k AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+ count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s AS (SELECT o, i, substr(o, CAST(i AS BIGINT), 1) AS f, substr(o, 1, CAST(i - 1 AS BIGINT)) AS before FROM o, range(1, 6) v(i)),
+m AS (SELECT s.*, k.*, contains(fails, f) AS hit, translate(fails, before, '') <> fails AS gone FROM s, k),
+g AS (SELECT part, o AS filter_order, CAST(i AS INT) AS step, f, sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+ sum(n) FILTER (fails = f) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost FROM m GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
+
+ORACLES: dict[str, str] = {"op10_line_cleaning": OP10_SQL, "op13_filter_audit": OP13_SQL}
