@@ -10,6 +10,7 @@ from . import language_id, quality_classifier
 from .common import WORD, load
 from .decontamination import contaminated
 from .filter_audit import audit
+from .lexical_search import LOWER, TERM, UPPER, search
 from .line_cleaning import BOILERPLATE, LOST, SYMBOL, with_measures
 from .line_dedup import line_duplicates
 from .mixing import mix
@@ -65,6 +66,10 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_measures(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, op12_lexical_search, op13_filter_audit, pipeline)}
 COUNT = "len(regexp_extract_all(x, '{}'))".format
 FAILS = f"""({COUNT("[|»›]")} >= 3 OR {COUNT(SYMBOL)} * 10 > length(x) OR ({COUNT(WORD)} >= 5 AND {COUNT("!")} * 3 > {COUNT(WORD)})
  OR ({COUNT(WORD)} >= 5 AND {COUNT(r"\p{Lu}")} * 5 > {COUNT(r"\p{L}")} * 3) OR ({COUNT(WORD)} >= 12 AND len(list_distinct(regexp_extract_all(x, '{WORD}'))) * 3 < {COUNT(WORD)}) OR regexp_matches(x, '{BOILERPLATE}'))"""
@@ -89,6 +94,15 @@ k AS (SELECT *, length(regexp_replace(array_to_string(good, chr(10)), '[\\x20\\x
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
  base_failed, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - len(good) AS BIGINT) AS n_lines_removed, CAST(kept_chars AS BIGINT) AS kept_chars, NOT base_failed AND word_chars - kept_chars <= word_chars * {LOST} AS kept FROM k"""
 
+TERMS_OF = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')"
+OP12_SQL = f"""WITH t AS (SELECT row_number() OVER () AS d, doc_id, {TERMS_OF} AS t FROM documents),
+h AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM t WHERE len(t) > 0),
+p AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * h.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, h GROUP BY term, h.n),
+i AS (SELECT i, item_id, term, count(*) AS often FROM (SELECT i, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS i, item_id, {TERMS_OF} AS t FROM benchmark)) GROUP BY 1, 2, 3),
+s AS (SELECT i, item_id, d, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * h.n) // h.l)))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN p USING (term), h GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20"""
 OP13_SQL = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
 f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS c,
@@ -104,4 +118,4 @@ g AS (SELECT part, o AS filter_order, CAST(i AS INT) AS step, f, sum(n) FILTER (
 SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
 
-ORACLES: dict[str, str] = {"op10_line_cleaning": OP10_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op10_line_cleaning": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
