@@ -15,6 +15,7 @@ from .line_cleaning import BOILERPLATE, LOST, SYMBOL, with_measures
 from .line_dedup import line_duplicates
 from .mixing import mix
 from .near_dup import near_duplicates
+from .setsketch import similar_sets
 from .sharding import shard
 from .token_counts import token_counts
 from .token_files import encode_round_trip
@@ -66,6 +67,11 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_measures(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean")
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_sets(load(spark, sf_dir, "documents"), shingle=2, alike=0.8)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), 20)
 
@@ -80,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, op12_lexical_search, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_sharding, op4_language_id, op5_line_dedup, op6_decontamination, op7_quality, op8_token_counts, op9_simhash, op10_line_cleaning, op11_setsketch, op12_lexical_search, op13_filter_audit, pipeline)}
 COUNT = "len(regexp_extract_all(x, '{}'))".format
 FAILS = f"""({COUNT("[|»›]")} >= 3 OR {COUNT(SYMBOL)} * 10 > length(x) OR ({COUNT(WORD)} >= 5 AND {COUNT("!")} * 3 > {COUNT(WORD)})
  OR ({COUNT(WORD)} >= 5 AND {COUNT(r"\p{Lu}")} * 5 > {COUNT(r"\p{L}")} * 3) OR ({COUNT(WORD)} >= 12 AND len(list_distinct(regexp_extract_all(x, '{WORD}'))) * 3 < {COUNT(WORD)}) OR regexp_matches(x, '{BOILERPLATE}'))"""
