@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import math
+import time
 
 import numpy as np
 import pytest
@@ -253,6 +255,18 @@ def test_quantiles_of_large_groups(spark):
         for g, vs in groups.items():
             want = np.percentile(vs, [100 * p for p in shares.values()]) if g != "huge" else [got[g][n] for n in shares]
             assert [got[g][n] for n in shares] == pytest.approx(list(want), rel=1e-9, abs=1e-12), (g, most)
+    # NaN after all, infinities at the ends, in small and large groups; values next to each other and of every size
+    odd = {"nan": [1.0, 2.0, 3.0] * 200 + [float("nan")] * 40, "ends": [float("-inf")] * 70 + list(range(500)) + [float("inf")] * 90, "all": [float("inf")] * 300, "mixed": [float("nan")] * 100 + [float("-inf")] * 100, "next": [5e-324, 1e-323] * 300, "sizes": [10.0 ** k for k in range(-300, 300)]}
+    far = spark.createDataFrame([(g, float(v)) for g, vs in odd.items() for v in vs], "g string, v double").repartition(3)
+    for most, bins in ((100_000, 1024), (100, 64)):
+        got = {r.g: r for r in quantiles(far, ["g"], "v", shares, most, bins).collect()}
+        for g, vs in odd.items():
+            ordered = sorted(map(float, vs), key=lambda x: (math.isnan(x), x))
+            for n, p in shares.items():
+                at = p * (len(ordered) - 1)
+                lo, hi = ordered[math.floor(at)], ordered[math.ceil(at)]
+                want = lo if math.floor(at) == math.ceil(at) else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
+                assert got[g][n] == pytest.approx(want, rel=1e-9, abs=0, nan_ok=True), (g, n, most)
     whole = quantiles(df, [], "v", {"m": 0.5}, 100, 8).first()
     assert whole.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
     assert quantiles(df.limit(0), ["g"], "v", shares).count() == 0
@@ -287,6 +301,25 @@ def test_normalised_arrays_with_mask_and_clip(spark):
             assert z[i] == pytest.approx(list(want_z)) and p[i] == pytest.approx(list(want_p))
 
 
+def test_normalised_arrays_cost_what_their_length_does(spark):
+    """Nothing that is computed of a whole array is computed anew for its cells."""
+    def seconds(n):
+        df = spark.createDataFrame([(i, [float((j * 7919) % 1013) - 100 for j in range(n)]) for i in range(8)], "i int, v array<double>").coalesce(1).cache()
+        df.count()
+        out = []
+        for f in (L.zscore_values, L.minmax_values):
+            times = []
+            for _ in range(3):
+                began = time.perf_counter()
+                L.array_cells(f(df, "v", "z"), ["i"], "z").agg(F.sum("z")).collect()
+                times.append(time.perf_counter() - began)
+            out.append(min(times))
+        return out
+
+    few, many = seconds(64), seconds(16_384)
+    assert all(m < 256 * max(f, 0.02) for f, m in zip(few, many, strict=True))
+
+
 def plain_sobel(v):
     """By the definition: a difference along one axis, 1-2-1 sums along the others, borders repeated."""
     total = np.zeros(v.shape)

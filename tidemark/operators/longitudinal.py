@@ -65,6 +65,11 @@ def cells(rows: DataFrame, key: Sequence[str], values: str, inside: Column | Non
     return rows.select(*key, F.posexplode(values).alias("pos", "v"))
 
 
+def array_cells(rows: DataFrame, key: Sequence[str], values: str) -> DataFrame:
+    """(key, pos, values): a computed array as a row a cell. Of posexplode the optimizer makes a filter on the array's size too, and computes the array twice; of posexplode_outer it doesn't."""
+    return rows.select(*key, F.posexplode_outer(values).alias("pos", values)).where("pos is not null")
+
+
 def overlap(a: Column, b: Column, empty: Column) -> dict[str, Column]:
     """Dice and Jaccard of two boolean arrays; `empty` where both are."""
     both = F.size(F.filter(F.zip_with(a, b, lambda x, y: x & y), lambda z: z))
@@ -140,6 +145,11 @@ def worst_of(rows: DataFrame, by: Sequence[str], value: Column, key: Sequence[st
 # arrays of numbers
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), the value computed once: a lambda's variable isn't replaced by what it stands for, as a column that is used twice may be."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def array_mean(values: Column) -> Column:
     """The mean; null for an empty array."""
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
@@ -154,32 +164,51 @@ def array_quantile(ordered: Column, share: float) -> Column:
 
 def inside_of(values: Column, mask: Column | None) -> Column:
     """The values where the mask (array of booleans) holds, above zero without one."""
-    return F.filter(values, lambda v: v > 0) if mask is None else F.filter(values, lambda v, i: F.get(mask, i))
+    if mask is None:
+        return F.filter(values, lambda v: v > 0)
+    return F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda z: z["m"]), lambda z: z["v"])
 
 
 def normalised_inside(values: Column, mask: Column | None, change) -> Column:
     """values changed where the mask holds (above zero without one), 0 elsewhere."""
-    return F.transform(values, lambda v, i: F.when((v > 0) if mask is None else F.get(mask, i), change(v)).otherwise(0.0))
+    if mask is None:
+        return F.transform(values, lambda v: F.when(v > 0, change(v)).otherwise(0.0))
+    return F.zip_with(values, mask, lambda v, m: F.when(m, change(v)).otherwise(0.0))
 
 
 def zscore_values(rows: DataFrame, values: str, out: str, mask: str | None = None, clip: tuple[float, float] | None = None, everywhere: bool = False) -> DataFrame:
     """rows with `out`: the array less the mean and over the population deviation (1e-8 at least) of what is inside the mask, cut to clip; 0 outside.
 
-    everywhere: the mask is the whole array. A row's array is worked on where it is; nothing moves."""
+    everywhere: the mask is the whole array. A row's array is worked on where it is, in a few passes over it; nothing moves."""
     v, m = F.col(values), F.col(mask) if mask else None
-    own = rows.withColumn("__in", v if everywhere else inside_of(v, m)).withColumn("__m", array_mean(F.col("__in")))
-    own = own.withColumn("__s", F.greatest(F.sqrt(array_mean(F.transform("__in", lambda x: (x - F.col("__m")) * (x - F.col("__m"))))), F.lit(1e-8)))
-    z = lambda x: (x - F.col("__m")) / F.col("__s")
-    cut = z if clip is None else lambda x: F.least(F.greatest(z(x), F.lit(clip[0])), F.lit(clip[1]))
-    return own.withColumn(out, F.transform(v, cut) if everywhere else normalised_inside(v, m, cut)).drop("__in", "__m", "__s")
+
+    def scaled(s: Column) -> Column:
+        z = lambda x: (x - s["mean"]) / s["deviation"]
+        cut = z if clip is None else lambda x: F.least(F.greatest(z(x), F.lit(clip[0])), F.lit(clip[1]))
+        return F.transform(v, cut) if everywhere else normalised_inside(v, m, cut)
+
+    def spread(s: Column) -> Column:
+        square = F.try_divide(F.aggregate(s["inside"], F.lit(0.0), lambda a, x: a + (x - s["mean"]) * (x - s["mean"])), F.size(s["inside"]))
+        return bound(F.struct(s["mean"].alias("mean"), F.greatest(F.sqrt(square), F.lit(1e-8)).alias("deviation")), scaled)
+
+    def centred(inside: Column) -> Column:
+        return bound(F.struct(inside.alias("inside"), array_mean(inside).alias("mean")), spread)
+
+    return rows.withColumn(out, bound(v if everywhere else inside_of(v, m), centred))
 
 
 def minmax_values(rows: DataFrame, values: str, out: str, mask: str | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """rows with `out`: the array with 0 at the low and 1 at the high quantile of what is inside the mask, not cut off, 0 outside; a hair is added where they are equal."""
     v, m = F.col(values), F.col(mask) if mask else None
-    own = rows.withColumn("__in", F.sort_array(inside_of(v, m))).withColumn("__a", array_quantile(F.col("__in"), low)).withColumn("__b", array_quantile(F.col("__in"), high))
-    width = F.when(F.col("__a") == F.col("__b"), F.lit(1e-8)).otherwise(F.col("__b") - F.col("__a"))
-    return own.withColumn(out, normalised_inside(v, m, lambda x: (x - F.col("__a")) / width)).drop("__in", "__a", "__b")
+
+    def scaled(s: Column) -> Column:
+        return normalised_inside(v, m, lambda x: (x - s["a"]) / s["width"])
+
+    def ends(ordered: Column) -> Column:
+        return bound(F.struct(array_quantile(ordered, low).alias("a"), array_quantile(ordered, high).alias("b")), lambda s: bound(
+            F.struct(s["a"].alias("a"), F.when(s["a"] == s["b"], F.lit(1e-8)).otherwise(s["b"] - s["a"]).alias("width")), scaled))
+
+    return rows.withColumn(out, bound(F.sort_array(inside_of(v, m)), ends))
 
 
 def pad_or_crop(size: Column, target: Column) -> Column:

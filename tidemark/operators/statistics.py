@@ -124,17 +124,22 @@ def mad(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def mad_outliers(rows: DataFrame, by: Sequence[str], value: str, most: float = 3.5, least_rows: int = 1) -> DataFrame:
     """rows with the modified z; none is an outlier where the MAD is 0 or a group has fewer than least_rows values."""
+    return with_modified_z(rows.join(mad(rows, by, value), list(by)), value, most, least_rows).drop("median", "mad", "n")
+
+
+def with_modified_z(rows: DataFrame, value: str, most: float, least_rows: int = 1) -> DataFrame:
+    """rows (value, median, mad, n) with `modified_z` and `outlier`."""
     z = F.when((F.col("mad") > 0) & (F.col("n") >= least_rows), 0.6745 * (F.col(value) - F.col("median")) / F.col("mad"))
-    return rows.join(mad(rows, by, value), list(by)).withColumn("modified_z", z).withColumn("outlier", F.coalesce(F.abs("modified_z") > most, F.lit(False))).drop("median", "mad", "n")
+    return rows.withColumn("modified_z", z).withColumn("outlier", F.coalesce(F.abs("modified_z") > most, F.lit(False)))
 
 
 def group_summary(rows: DataFrame, by: Sequence[str], value: str, most: float = 3.5) -> DataFrame:
     """n, median, MAD and outliers of each group; null keys are groups too."""
     keyed = rows.withColumns({f"__k{i}": F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")) for i, c in enumerate(by)})
     keys = [f"__k{i}" for i in range(len(by))]
-    flagged = mad_outliers(keyed, keys, value, most)
-    counts = flagged.groupBy(*keys).agg(*(F.first(c).alias(c) for c in by), F.count("*").alias("n_cases"), F.count_if("outlier").alias("n_outliers"), F.avg(F.col("outlier").cast("double")).alias("outlier_fraction"))
-    return counts.join(mad(keyed, keys, value).drop("n"), keys).drop(*keys)
+    flagged = with_modified_z(keyed.join(mad(keyed, keys, value), keys), value, most)
+    own = [*(F.first(c).alias(c) for c in by), F.count("*").alias("n_cases"), F.count_if("outlier").alias("n_outliers"), F.avg(F.col("outlier").cast("double")).alias("outlier_fraction"), F.first("median").alias("median"), F.first("mad").alias("mad")]
+    return flagged.groupBy(*keys).agg(*own).drop(*keys)
 
 
 def unpivot_stats(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

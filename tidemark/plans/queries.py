@@ -693,14 +693,13 @@ def label_volumes(spark, d):
 @query(f"""WITH {CELLS}, s AS (SELECT vec_id, avg(v) AS m, greatest(stddev_pop(v), 1e-8) AS s FROM ce GROUP BY 1) SELECT vec_id, CAST(pos AS BIGINT) AS pos, {q4('(v - m) / s')} AS z FROM ce JOIN s USING (vec_id)""")
 def zscore_normalize(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    out = L.zscore_values(rows, "e", "z", everywhere=True).select("vec_id", F.posexplode("z").alias("pos", "z"))
-    return big(rounded(out, "z"))
+    return big(rounded(L.array_cells(L.zscore_values(rows, "e", "z", everywhere=True), ["vec_id"], "z"), "z"))
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT vec_id, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM ce WHERE v > 0 GROUP BY 1) SELECT vec_id, CAST(pos AS BIGINT) AS pos, {q4('CASE WHEN v > 0 THEN (v - a) / CASE WHEN a = b THEN 1e-8 ELSE b - a END ELSE 0 END')} AS v FROM ce JOIN s USING (vec_id)""")
 def percentile_minmax(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return big(rounded(L.minmax_values(rows, "e", "v").select("vec_id", F.posexplode("v").alias("pos", "v")), "v"))
+    return big(rounded(L.array_cells(L.minmax_values(rows, "e", "v"), ["vec_id"], "v"), "v"))
 
 
 @query(f"""WITH m AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS dd, count(*) AS n FROM lineitem GROUP BY 1),
