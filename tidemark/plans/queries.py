@@ -724,3 +724,8 @@ def shape_and_spacing(spark, d):
     size = F.col("p_size") * 8
     strategy = F.get(X.spacing_strategy(F.array(F.col("p_size") / 10.0), F.array(F.lit(1.0))), 0)
     return big(table(spark, d, "part").select("p_partkey", size.alias("size"), L.pad_or_crop(size, F.lit(240)).alias("w"), strategy.alias("strategy")).select("p_partkey", "size", *(F.col(f"w.{n}").cast("long").alias(n) for n in ("pad_before", "pad_after", "crop_before", "crop_after")), "strategy"))
+
+
+# queries of their own modules, which use the helpers above
+
+from tidemark.plans import volume_queries  # noqa: E402, F401
