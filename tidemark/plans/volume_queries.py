@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import fields
 from tidemark.operators import regions as R
 from tidemark.plans.queries import q4, query, rounded
 from tidemark.sources.tables import table
@@ -53,3 +54,36 @@ def otsu_foreground(spark, d):
     how = R.Foreground(sigma=0.0, keep=2, least=20, relaxed=0.1)
     found = R.foregrounds(volumes(spark, d), ["vec_id"], shape(), F.col("v"), how)
     return rounded(found.select("vec_id", "threshold", "n_components", "hole_cells", "foreground_cells"), "threshold")
+
+
+def _slope(axis: str, step: int) -> str:
+    """The difference of w along an axis of the grid, one-sided at the border."""
+    return f"CASE {axis} WHEN 0 THEN w[p + {step + 1}] - w[p + 1] WHEN 3 THEN w[p + 1] - w[p - {step - 1}] ELSE (w[p + {step + 1}] - w[p - {step - 1}]) / 2 END"
+
+
+FIELD = f"""e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 5) AS e FROM embeddings),
+f AS (SELECT vec_id, i, CASE i WHEN 1 THEN e WHEN 2 THEN list_reverse(e) ELSE e[33:64] || e[1:32] END AS w FROM e, range(1, 4) r(i)),
+d AS (SELECT vec_id, i, p, {_slope('p // 16', 16)} AS x, {_slope('p // 4 % 4', 4)} AS y, {_slope('p % 4', 1)} AS z FROM f, range(64) r(p)),
+j AS (SELECT a.vec_id, (a.x + 1) * ((b.y + 1) * (c.z + 1) - b.z * c.y) - a.y * (b.x * (c.z + 1) - b.z * c.x) + a.z * (b.x * c.y - (b.y + 1) * c.x) AS det
+ FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.p = b.p AND a.i = 1 AND b.i = 2 JOIN d c ON a.vec_id = c.vec_id AND a.p = c.p AND c.i = 3),
+s AS (SELECT vec_id, avg(det) AS det_mean, stddev_pop(det) AS det_std, avg(ln(det)) FILTER (det > 0) AS log_det_mean, stddev_pop(ln(det)) FILTER (det > 0) AS log_det_std, avg(CAST(det < 0 AS INT)) AS negative_fraction, min(det) AS det_min, max(det) AS det_max FROM j GROUP BY 1)"""
+
+
+@query(f"""WITH {FIELD.replace("ln(det)", "ln(CASE WHEN det > 0 THEN det END)")} SELECT vec_id, {', '.join(f'{q4(c)} AS {c}' for c in fields.STATISTICS)},
+ CASE WHEN negative_fraction > 0.01 THEN 'Folding' WHEN abs(log_det_mean) > 0.5 THEN 'Large mean deformation' WHEN det_min < 0.1 THEN 'Extreme local contraction' WHEN det_max > 10 THEN 'Extreme local expansion' END AS reason FROM s""")
+def field_jacobian(spark, d):
+    """Each embedding five times over, its reverse and its halves exchanged, as displacements along three axes."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 5).alias("e"))
+    u = F.concat("e", F.reverse("e"), F.slice("e", 33, 32), F.slice("e", 1, 32))
+    found = fields.field_statistics(e, ["vec_id"], shape(), u)
+    return rounded(found.withColumn("reason", fields.implausible()), *fields.STATISTICS)
+
+
+@query(f"""WITH m AS (SELECT vec_id, list_transform(embedding[1:9], lambda x: CAST(x AS DOUBLE) * 10) AS m FROM embeddings),
+d AS (SELECT vec_id, m[1] * (m[5] * m[9] - m[6] * m[8]) - m[2] * (m[4] * m[9] - m[6] * m[7]) + m[3] * (m[4] * m[8] - m[5] * m[7]) AS det FROM m)
+SELECT vec_id, {q4('det')} AS det_mean, {q4('CASE WHEN det > 0 THEN ln(det) ELSE 0 END')} AS log_det_mean, CASE WHEN det < 0 THEN 'Folding' WHEN det > 0 AND abs(ln(det)) > 0.5 THEN 'Large mean deformation' WHEN det < 0.1 THEN 'Extreme local contraction' END AS reason FROM d""".replace("det > 0 AND abs(ln(det)) > 0.5", "CASE WHEN det > 0 THEN abs(ln(det)) > 0.5 END"))
+def affine_jacobian(spark, d):
+    """The first nine numbers of each embedding, ten times over, as the rows of an affine map."""
+    m = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double") * 10).alias("m"))
+    found = fields.affine_statistics(m, "m").withColumn("reason", fields.implausible())
+    return rounded(found.select("vec_id", "det_mean", "log_det_mean", "reason"), "det_mean", "log_det_mean")
