@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import counted, join_checked, staged, with_rows
+from .prefix_pairs import set_pairs
 from .simhash_links import fingerprint_groups, key_groups
 from .words import slices
 
@@ -176,11 +177,17 @@ def shared_rooms(sets: DataFrame, alike: float) -> DataFrame:
     return sets.select("node", "room")
 
 
+def rest_pairs(nodes: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """(a, b) of set_pairs, without the sets that hold too much of their own."""
+    room, n = counted(shared_rooms(sets, alike).select("node"), "rest-rooms")
+    return set_pairs(nodes, join_checked(sets, room, "node", rows=n), alike)
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, whole, component_id, group) and `row` if given: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
 
     A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
-    themselves decide, and how much of a set no other of those left holds tells beforehand which pairs can't be alike. Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
+    themselves decide; rows still apart under a key are paired by their rarest elements (rest_pairs). Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
     at = row or "__row"
     docs = docs if row else with_rows(docs.select(key, text), key, "similar-rows")
     found = staged(shingle_sketches(docs, shingle, bands, rows, key, text, at), "sketches")
@@ -199,5 +206,5 @@ def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, ban
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
 
-    found_groups = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda wanted: shared_rooms(sets_of(wanted), alike))
+    found_groups = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda left: rest_pairs(left, sets_of(left.select("node")), alike))
     return with_groups(found.drop("keys", "size"), nodes.drop("keys", "row", "size"), found_groups, ["whole"], row)

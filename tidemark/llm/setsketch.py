@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import counted, join_checked, staged, with_rows
-from .near_dup import SEED, carried, shared_rooms, shingle_hashes, shingle_sets
+from .near_dup import SEED, carried, rest_pairs, shingle_hashes, shingle_sets
 from .simhash_links import key_groups
 from .words import slices
 
@@ -114,7 +114,8 @@ def similar_sets(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: i
 
     group is null for a document that is like no other, else the same for all that a document reaches over links; component_id is the smallest doc_id there, its own
     without a group. Candidates share the registers of a band; those that the likelihood of their registers rules out go, the others' whole sets are compared. Equal
-    sets are one node, so copies cost no more than one. A key that many nodes share isn't expanded into pairs (key_groups).
+    sets are one node, so copies cost no more than one. A key that many nodes share isn't expanded into
+    pairs (key_groups); what is apart in the end is paired by its rarest elements (rest_pairs).
 
     Null and empty texts have an empty set, which is linked with nothing, its equals neither; rows of one doc_id each keep their row; rows without a doc_id are linked like others,
     component_id is null if all of a group have none; empty tables give no rows; other columns are ignored."""
@@ -136,7 +137,7 @@ def similar_sets(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: i
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * round(alike * 100)).select("a", "b")
 
-    linked = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda wanted: shared_rooms(sets_of(wanted), alike))
+    linked = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda left: rest_pairs(left, sets_of(left.select("node")), alike))
     joint = nodes.select("whole", "node", "n").join(linked, "node", "left").where("n > 1 or component is not null").select("whole", F.coalesce("component", "node").alias("group"))
     groups, n = counted(joint, "set-groups")
     placed = staged(join_checked(found.select("doc_id", at, "whole", "size"), groups, "whole", "left", rows=n).select("doc_id", at, "size", "group"), "set-placed")

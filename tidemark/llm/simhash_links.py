@@ -113,14 +113,14 @@ def linked(comp: DataFrame, pairs: DataFrame) -> DataFrame:
     return merged(comp, pairs)
 
 
-def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame], rooms: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame], apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component): for each node that is linked, the smallest node that it reaches, from nodes (node, size, keys).
 
     Nodes that share a key are candidates if the smaller has at least `alike` times the other's size, and verify keeps some rows of (a, b). As above, a
     key's rows are first compared with its smallest node. Those outside its largest component are compared with LEADS of that one's nodes, drawn by
     hash, which links most of a group of near copies of which many are not like the first; then those still apart with all of other components.
-    rooms, for nodes that are sets of `size` elements, gives (node, room) for those of (node) that may be linked to another of them: room elements are
-    the most that it shares with one, so pairs for which that can't make a similarity (Jaccard) of `alike` are left out of the last step."""
+    apart, if given, makes the pairs (a, b) of this last step from the nodes (node, component, rest) that are still apart in a key; it must give all that verify would keep
+    between different components, one of the rest."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "keys-shared")
     hits = staged(join_checked(rows, shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
@@ -139,11 +139,9 @@ def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], Dat
     left, n = apart_rows(left.select("node", "size", "key"), comp, F.lit(True))
     if not n:
         return comp
+    if apart:
+        return linked(comp, verify(apart(staged(left.groupBy("node", "component").agg(F.max("rest").alias("rest")), "nodes-apart"))))
     names, may = ["node", "size", "component"], (F.col("component") != F.col("y_component")) & fits(F.col("size"), F.col("y_size"))
-    if rooms:
-        room, n = counted(rooms(left.select("node").distinct()), "key-rooms")
-        left, names, both = join_checked(left, room, "node", rows=n), [*names, "room"], F.least("room", "y_room")
-        may &= both >= alike * (F.col("size") + F.col("y_size") - both)
     own = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
     left = left.join(own, "node")
     y = left.select("key", *(F.col(n).alias(f"y_{n}") for n in (*names, "keys", "rest")))
