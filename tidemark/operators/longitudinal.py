@@ -129,17 +129,30 @@ def composite_score(rows: DataFrame, metrics: dict[str, tuple[float, Column]]) -
     return F.try_divide(sum((v for _, v in have), F.lit(0.0)), sum((w for w, _ in have), F.lit(0.0)))
 
 
+def falling(value: Column) -> list[Column]:
+    """Sort keys, smallest first, that put the largest value first, NaN before all and null last."""
+    v = value.cast("double")
+    return [v.isNull().alias("none"), (~F.isnan(v)).alias("number"), (-v).alias("size")]
+
+
 def best_of(rows: DataFrame, by: Sequence[str], score: str, tie: str, least: float | None = None) -> DataFrame:
-    """The reference of each group: the best score, ties by the earliest; the earliest of all where no score reaches `least`."""
-    own = Window.partitionBy(*by)
-    ranked = rows.withColumns({"__s": F.row_number().over(own.orderBy(F.desc_nulls_last(score), tie)), "__t": F.row_number().over(own.orderBy(tie)), "__top": F.max(score).over(own)})
+    """The reference of each group: the best score, ties by the earliest; the earliest of all where no score reaches `least`. Aggregates only, so a group of any size is no single task's sort."""
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    found = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min_by(whole, F.struct(*falling(F.col(score)), F.col(tie).alias("tie"))).alias("__best"), F.min_by(whole, F.struct(F.col(tie).alias("tie"))).alias("__first"), F.max(score).alias("__top"))
     good = F.lit(True) if least is None else F.coalesce(F.col("__top") >= least, F.lit(False))
-    return ranked.where(F.when(good, F.col("__s") == 1).otherwise(F.col("__t") == 1)).drop("__s", "__t", "__top")
+    return found.select(F.when(good, F.col("__best")).otherwise(F.col("__first")).alias("r")).select("r.*")
 
 
 def worst_of(rows: DataFrame, by: Sequence[str], value: Column, key: Sequence[str]) -> DataFrame:
-    """The row of each group with the largest value, rows without a value last; ties by key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(value.desc_nulls_last(), *key))).where("__n = 1").drop("__n")
+    """The row of each group with the largest value, rows without a value last; ties by key. An aggregate, not a sort of the group."""
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    order = F.struct(*falling(value), *(F.col(k).alias(f"k{i}") for i, k in enumerate(key)))
+    return rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min_by(whole, order).alias("r")).select("r.*")
+
+
+def first_supplied(rows: DataFrame, by: Sequence[str], order: str, metrics: Sequence[str]) -> DataFrame:
+    """(by, metrics): of each group's rows the first by order that has the metric, each metric by itself; null if none has it."""
+    return rows.groupBy(*by).agg(*(F.min_by(m, F.when(F.col(m).isNotNull(), F.col(order))).alias(m) for m in metrics))
 
 
 # arrays of numbers

@@ -149,29 +149,39 @@ def foreground(v: np.ndarray, how: Foreground = Foreground()) -> tuple[np.ndarra
     return shrunk(grown(whole, how.grow), how.shrink), float(cut), len(first), int(whole.sum() - held.sum())
 
 
-def each_volume(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Column, schema: str, rows_of: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    """keys and the rows (in the columns of schema) that rows_of gives for each volume; none where the data are null or don't fill the shape."""
-    own = volumes.select(*keys, shape.cast("array<int>").alias("__shape"), data.alias("__data"))
+def each_volume(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Column, schema: str, rows_of: Callable[..., list[tuple]], beside: Sequence[Column] = ()) -> DataFrame:
+    """keys and the rows (in the columns of schema) that rows_of gives for each volume; none where the data are null, hold a null or don't fill the shape.
+
+    beside: more arrays for rows_of, each as a volume of the same shape, or None where it is null or doesn't fill it."""
+    own = volumes.select(*keys, shape.cast("array<int>").alias("__shape"), data.alias("__data"), *(c.alias(f"__beside{i}") for i, c in enumerate(beside)))
+    arrays = 1 + len(beside)
     out_schema = ", ".join([*(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys), schema])
     names = [*keys, *(x.strip().split(" ")[0] for x in schema.split(","))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
+        types = arrow_types(schema)
         for batch in batches:
             rows, source = [], []
             for i in range(batch.num_rows):
-                sizes, cells = batch.column(len(keys))[i].as_py(), batch.column(len(keys) + 1)[i].values
-                if sizes is not None and cells is not None and int(np.prod(sizes)) == len(cells) and not cells.null_count:
-                    new = rows_of(cells.to_numpy(zero_copy_only=False).reshape(sizes))
+                sizes = batch.column(len(keys))[i].as_py()
+                own, *others = (filling(batch.column(len(keys) + 1 + c)[i].values, sizes) for c in range(arrays))
+                if own is not None:
+                    new = rows_of(own, *others)
                     rows += new
                     source += [i] * len(new)
             keyed = batch.select(list(range(len(keys)))).take(pa.array(source, pa.int64()))
-            types = types or arrow_types(schema)
             yield pa.RecordBatch.from_arrays([*keyed.columns, *(pa.array([r[c] for r in rows], t) for c, t in enumerate(types))], names)
 
     return own.mapInArrow(run, out_schema)
 
 
+def filling(cells: pa.Array | None, sizes: list[int] | None) -> np.ndarray | None:
+    """The cells as a volume; None where they are null, hold a null or don't fill the sizes."""
+    if sizes is None or cells is None or int(np.prod(sizes)) != len(cells) or cells.null_count:
+        return None
+    return cells.to_numpy(zero_copy_only=False).reshape(sizes)
+
+
 def arrow_types(schema: str) -> list[pa.DataType]:
     """Arrow's types of a schema of plain columns and arrays of them."""
     plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}

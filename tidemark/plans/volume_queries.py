@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import fields
+from tidemark.operators import candidates, fields
+from tidemark.operators import longitudinal as L
 from tidemark.operators import regions as R
-from tidemark.plans.queries import q4, query, rounded
+from tidemark.functions.expressions import unit_interval
+from tidemark.plans.queries import big, q4, query, rounded
 from tidemark.sources.tables import table
 
 
@@ -87,3 +89,49 @@ def affine_jacobian(spark, d):
     m = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double") * 10).alias("m"))
     found = fields.affine_statistics(m, "m").withColumn("reason", fields.implausible())
     return rounded(found.select("vec_id", "det_mean", "log_det_mean", "reason"), "det_mean", "log_det_mean")
+
+
+#: Each cell with its neighbours, those over the border taken from the border: differences, Sobel's gradient, and how many of the six are inside the grid and above zero, or in the region.
+CANDIDATES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, vec_id % 2 = 0 AS masked FROM embeddings),
+c AS (SELECT vec_id, label, masked, e, CAST(p // 16 AS INT) AS x, CAST(p // 4 % 4 AS INT) AS y, CAST(p % 4 AS INT) AS z, e[p + 1] AS v, e[p + 1] > 0 AS a, CASE WHEN masked THEN e[p + 1] > -0.1 ELSE e[p + 1] > 0 END AS g, CASE WHEN masked THEN e[p + 1] > -0.1 END AS m, p FROM e, range(64) r(p)),
+o AS (SELECT dx, dy, dz FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy), (VALUES (-1), (0), (1)) c(dz)),
+n AS (SELECT vec_id, p, dx, dy, dz, e[greatest(0, least(3, x + dx)) * 16 + greatest(0, least(3, y + dy)) * 4 + greatest(0, least(3, z + dz)) + 1] AS w,
+ x + dx BETWEEN 0 AND 3 AND y + dy BETWEEN 0 AND 3 AND z + dz BETWEEN 0 AND 3 AS inside, masked FROM c, o),
+k AS (SELECT vec_id, p, sum(dx * (2 - abs(dy)) * (2 - abs(dz)) * w) AS sx, sum(dy * (2 - abs(dx)) * (2 - abs(dz)) * w) AS sy, sum(dz * (2 - abs(dx)) * (2 - abs(dy)) * w) AS sz,
+ sum(CASE abs(dx) + abs(dy) + abs(dz) WHEN 1 THEN w WHEN 0 THEN -6 * w ELSE 0 END) AS lap,
+ count(*) FILTER (abs(dx) + abs(dy) + abs(dz) = 1 AND inside AND w > 0) = 6 AS a6, count(*) FILTER (abs(dx) + abs(dy) + abs(dz) = 1 AND inside AND w > CASE WHEN masked THEN -0.1 ELSE 0 END) = 6 AS g6 FROM n GROUP BY 1, 2),
+q AS (SELECT vec_id, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3, count(*) AS n FROM c WHERE a GROUP BY 1),
+s AS (SELECT c.vec_id, any_value(label) AS label, CASE WHEN max(n) > 8 AND count(*) FILTER (a AND v BETWEEN q1 AND q3) > 2 THEN avg(v) FILTER (a AND v BETWEEN q1 AND q3) / (stddev_pop(v) FILTER (a AND v BETWEEN q1 AND q3) + 1e-8) * sqrt(2 / (4 - pi())) END AS snr_foreground,
+ CASE WHEN max(n) > 8 AND count(*) FILTER (a AND v < q2) > 2 AND count(*) FILTER (a AND v >= q2) > 2 THEN abs(avg(v) FILTER (a AND v >= q2) - avg(v) FILTER (a AND v < q2)) / sqrt(var_pop(v) FILTER (a AND v < q2) + var_pop(v) FILTER (a AND v >= q2)) END AS cnr_high_low,
+ coalesce(avg(sqrt(sx * sx + sy * sy + sz * sz)) FILTER (a AND NOT a6), 0) AS boundary_gradient_score, avg(CAST(m AS INT)) AS brain_coverage_fraction,
+ CASE WHEN count(*) FILTER (g) >= 8 THEN var_pop(lap) FILTER (g) END AS laplacian_sharpness,
+ 1 - stddev_pop(v) FILTER (g AND NOT g6) / (avg(v) FILTER (g AND NOT g6) + 1e-8) / (stddev_pop(v) FILTER (g AND g6) / (avg(v) FILTER (g AND g6) + 1e-8) + 1e-8) AS ghosting_score
+ FROM c JOIN k USING (vec_id, p) JOIN q USING (vec_id) GROUP BY 1)"""
+
+
+def _candidates(spark, d):
+    rows = volumes(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    mask = F.when(F.col("vec_id") % 2 == 0, F.transform("v", lambda x: x > -0.1))
+    return candidates.candidate_metrics(rows, ["vec_id", "label"], shape(), F.col("v"), mask, candidates.Depths(cells=8, part=2, border=1, shell=1))
+
+
+@query(f"WITH {CANDIDATES} SELECT vec_id, CAST(label AS BIGINT) AS label, {', '.join(f'{q4(m)} AS {m}' for m in candidates.METRICS)} FROM s")
+def candidate_metrics(spark, d):
+    """Each embedding as a candidate's volume; every second one with a mask beside it."""
+    return big(rounded(_candidates(spark, d), *candidates.METRICS))
+
+
+@query(f"WITH {CANDIDATES} SELECT CAST(label AS BIGINT) AS label, {', '.join(f'{q4(f"arg_min({m}, vec_id)")} AS {m}' for m in candidates.METRICS)} FROM s GROUP BY 1")
+def first_supplied_metrics(spark, d):
+    """Of each label's candidates the first that has the metric."""
+    return big(rounded(L.first_supplied(_candidates(spark, d), ["label"], "vec_id", candidates.METRICS), *candidates.METRICS))
+
+
+@query(f"""WITH {CANDIDATES}, w AS (SELECT vec_id, label, (coalesce(0.4 * least(1, greatest(0, snr_foreground / 6)), 0) + coalesce(0.4 * least(1, greatest(0, (cnr_high_low - 1) / 2)), 0) + coalesce(0.2 * brain_coverage_fraction, 0))
+ / (CASE WHEN snr_foreground IS NULL THEN 0 ELSE 0.4 END + CASE WHEN cnr_high_low IS NULL THEN 0 ELSE 0.4 END + CASE WHEN brain_coverage_fraction IS NULL THEN 0 ELSE 0.2 END) AS score FROM s)
+SELECT CAST(label AS BIGINT) AS label, vec_id, {q4('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS r FROM w) WHERE r = 1""")
+def reference_candidate(spark, d):
+    """The best candidate of each label by a weighted mean of the metrics that it has."""
+    rows = _candidates(spark, d)
+    score = L.composite_score(rows, {"snr": (0.4, unit_interval(F.col("snr_foreground"), 0, 6)), "cnr": (0.4, unit_interval(F.col("cnr_high_low"), 1, 3)), "cover": (0.2, F.col("brain_coverage_fraction"))})
+    return big(rounded(L.best_of(rows.withColumn("score", score), ["label"], "score", "vec_id").select("label", "vec_id", "score"), "score"))
