@@ -149,12 +149,12 @@ def foreground(v: np.ndarray, how: Foreground = Foreground()) -> tuple[np.ndarra
     return shrunk(grown(whole, how.grow), how.shrink), float(cut), len(first), int(whole.sum() - held.sum())
 
 
-def each_volume(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Column, schema: str, rows_of: Callable[..., list[tuple]], beside: Sequence[Column] = ()) -> DataFrame:
+def each_volume(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Column, schema: str, rows_of: Callable[..., list[tuple]], beside: Sequence[Column] = (), given: Sequence[Column] = ()) -> DataFrame:
     """keys and the rows (in the columns of schema) that rows_of gives for each volume; none where the data are null, hold a null or don't fill the shape.
 
-    beside: more arrays for rows_of, each as a volume of the same shape, or None where it is null or doesn't fill it."""
-    own = volumes.select(*keys, shape.cast("array<int>").alias("__shape"), data.alias("__data"), *(c.alias(f"__beside{i}") for i, c in enumerate(beside)))
-    arrays = 1 + len(beside)
+    beside: more arrays for rows_of, each as a volume of the same shape, or None where it is null or doesn't fill it. given: more values of the row for it, as they are."""
+    own = volumes.select(*keys, shape.cast("array<int>").alias("__shape"), data.alias("__data"), *(c.alias(f"__beside{i}") for i, c in enumerate([*beside, *given])))
+    arrays, more = 1 + len(beside), len(given)
     out_schema = ", ".join([*(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys), schema])
     names = [*keys, *(x.strip().split(" ")[0] for x in schema.split(","))]
 
@@ -166,7 +166,7 @@ def each_volume(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Co
                 sizes = batch.column(len(keys))[i].as_py()
                 own, *others = (filling(batch.column(len(keys) + 1 + c)[i].values, sizes) for c in range(arrays))
                 if own is not None:
-                    new = rows_of(own, *others)
+                    new = rows_of(own, *others, *(batch.column(len(keys) + 1 + arrays + c)[i].as_py() for c in range(more)))
                     rows += new
                     source += [i] * len(new)
             keyed = batch.select(list(range(len(keys)))).take(pa.array(source, pa.int64()))

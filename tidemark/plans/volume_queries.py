@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import permutations, product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import candidates, fields
+from tidemark.operators import grids as G
 from tidemark.operators import longitudinal as L
 from tidemark.operators import regions as R
 from tidemark.functions.expressions import unit_interval
 from tidemark.plans.queries import big, q4, query, rounded
+from tidemark.sources import nifti
 from tidemark.sources.tables import table
 
 
@@ -135,3 +141,50 @@ def reference_candidate(spark, d):
     rows = _candidates(spark, d)
     score = L.composite_score(rows, {"snr": (0.4, unit_interval(F.col("snr_foreground"), 0, 6)), "cnr": (0.4, unit_interval(F.col("cnr_high_low"), 1, 3)), "cover": (0.2, F.col("brain_coverage_fraction"))})
     return big(rounded(L.best_of(rows.withColumn("score", score), ["label"], "score", "vec_id").select("label", "vec_id", "score"), "score"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+c AS (SELECT vec_id, x * 8 + y * 4 + z AS pos, e[CAST(x * 32 + y * 8 + z + 1 AS INT)] AS near, x, y, z, e FROM e, range(2) a(x), range(2) b(y), range(4) c(z))
+SELECT vec_id, CAST(1.5 AS DOUBLE) AS factor, CAST(pos AS BIGINT) AS pos, {q4('((e[CAST(x * 16 + y * 4 + z + 1 AS INT)] + e[CAST(x * 32 + y * 4 + z + 1 AS INT)]) / 2 + (e[CAST(x * 16 + y * 8 + z + 1 AS INT)] + e[CAST(x * 32 + y * 8 + z + 1 AS INT)]) / 2) / 2')} AS v, near > 0 AS inside FROM c""")
+def qc_downsample(spark, d):
+    """Volumes of cells 1 x 1 x 1.5 apart on a grid 1.5 apart, with the cells above zero as a mask: two, two and four cells."""
+    found = G.downsampled(volumes(spark, d), ["vec_id"], shape(), F.col("v"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.5)), F.transform("v", lambda x: x > 0), 1.5, 20)
+    cells = found.select("vec_id", "factor", F.posexplode(F.arrays_zip("data", "mask")).alias("pos", "c"))
+    return big(rounded(cells.select("vec_id", "factor", "pos", F.col("c.data").alias("v"), F.col("c.mask").alias("inside")), "v"))
+
+
+FIT = """ce AS (SELECT vec_id, CAST(embedding[x * 16 + y * 4 + z + 1] AS DOUBLE) AS v, x, y, z FROM embeddings, range(4) a(x), range(4) b(y), range(4) c(z)),
+gr AS (SELECT vec_id, x, y, z, x * 12 + y * 4 + z AS pos FROM embeddings, range(7) a(x), range(3) b(y), range(4) c(z)),
+ft AS (SELECT gr.vec_id, gr.pos, gr.x, gr.y, gr.z, coalesce(v, 0) AS v FROM gr LEFT JOIN ce ON ce.vec_id = gr.vec_id AND ce.x = gr.x - 1 AND ce.y = gr.y AND ce.z = gr.z)"""
+
+
+@query(f"WITH {FIT} SELECT vec_id, CAST(pos AS BIGINT) AS pos, {q4('v')} AS v, '4,4,4' AS fitted_from, '-1,0,0' AS moved FROM ft")
+def shape_fit(spark, d):
+    """Volumes at seven by three by four cells: padded, cropped, as they were."""
+    found = G.fitted(volumes(spark, d), ["vec_id"], shape(), F.col("v"), (7, 3, 4))
+    return big(rounded(found.select("vec_id", F.posexplode("data").alias("pos", "v"), F.array_join("fitted_from", ",").alias("fitted_from"), F.array_join("moved", ",").alias("moved")), "v"))
+
+
+@query(f"WITH {FIT} SELECT ce.vec_id, CAST(x * 16 + y * 4 + z AS BIGINT) AS pos, {q4('CASE WHEN y < 3 THEN v ELSE 0 END')} AS v FROM ce")
+def shape_restore(spark, d):
+    """The same back again: what was cropped is 0, all else as before."""
+    found = G.restored(G.fitted(volumes(spark, d), ["vec_id"], shape(), F.col("v"), (7, 3, 4)), ["vec_id"], (7, 3, 4))
+    return big(rounded(found.select("vec_id", F.posexplode("data").alias("pos", "v")), "v"))
+
+
+@query(f"""WITH {GRID} SELECT vec_id, CAST(p AS BIGINT) AS pos, {q4('v')} AS v FROM ce""")
+def nifti_round_trip(spark, d):
+    """Embeddings as files of all 48 orientations, read back to the first one."""
+    ends = ["".join(e) for order in permutations(G.ENDS) for e in product(*order)]
+
+    def write(batches):
+        for batch in batches:
+            ids, files = batch.column(0), []
+            for i in range(batch.num_rows):
+                v = batch.column(1)[i].values.to_numpy().reshape(4, 4, 4)
+                turned, affine = G.oriented(v, np.diag([1.0, 2.0, 0.5, 1.0]), ends[ids[i].as_py() % 48])
+                files.append(nifti.write(turned, affine, packed=i % 2 == 1))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+
+    found = nifti.parsed(volumes(spark, d).mapInArrow(write, "path string, content binary"))
+    return big(rounded(found.select(F.col("path").cast("long").alias("vec_id"), F.posexplode("data").alias("pos", "v")), "v"))
