@@ -41,9 +41,10 @@ def cascade(visits: DataFrame, entity: str, visit: str, good: Column, least: int
     return judged.join(enough, entity).withColumn("fate", fate).drop("good", "kept")
 
 
-def ledger(rows: DataFrame, reason: Column, source_type: str, stage: int, entity: str, visit: str, item: str) -> DataFrame:
-    """Rejected rows in the ledger's columns."""
-    return rows.select(F.col(entity).cast("string").alias("entity"), F.col(visit).cast("string").alias("visit"), F.col(item).cast("string").alias("item"), reason.alias("reason"), F.lit(source_type).alias("source_type"), F.lit(stage).alias("stage"))
+def ledger(rows: DataFrame, reason: Column, source_type: str | Column, stage: int | Column, entity: str, visit: str, item: str) -> DataFrame:
+    """Rejected rows in the ledger's columns; source_type and stage may differ by row, so that rows of all stages come of one pass."""
+    source_type, stage = (x if isinstance(x, Column) else F.lit(x) for x in (source_type, stage))
+    return rows.select(F.col(entity).cast("string").alias("entity"), F.col(visit).cast("string").alias("visit"), F.col(item).cast("string").alias("item"), reason.alias("reason"), source_type.alias("source_type"), stage.alias("stage"))
 
 
 def funnel(final: DataFrame, rejected: DataFrame, stages: Sequence[int], exact: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from tidemark.operators import curation as C
 from tidemark.operators import images, records
 from tidemark.operators import longitudinal as L
 from tidemark.operators import statistics as S
+from tidemark.sources.staging import staged
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,12 +72,20 @@ def completeness_filter(spark, d):
     return kept.groupBy("o_custkey").agg(F.count("*").alias("n_good"))
 
 
+def _judged(spark, d) -> DataFrame:
+    """Visits with their fate, from one written table of visits, so lines and orders are joined once."""
+    return C.cascade(staged(visits(spark, d), "visits"), "o_custkey", "o_orderkey", F.col("complete"), 2)
+
+
+def _rejected(judged: DataFrame) -> DataFrame:
+    alone = F.col("fate") == "visit_rejected"
+    return C.ledger(judged.where("fate <> 'kept'"), F.when(alone, F.concat(F.lit("missing "), "missing")).otherwise("too few visits"), F.when(alone, "filtering_visit").otherwise("filtering_entity"), F.when(alone, 1).otherwise(2), "o_custkey", "o_orderkey", "o_orderkey")
+
+
 def _ledger(spark, d) -> tuple[DataFrame, DataFrame]:
-    judged = C.cascade(visits(spark, d), "o_custkey", "o_orderkey", F.col("complete"), 2)
-    stage1 = C.ledger(judged.where("fate = 'visit_rejected'"), F.concat(F.lit("missing "), "missing"), "filtering_visit", 1, "o_custkey", "o_orderkey", "o_orderkey")
-    stage2 = C.ledger(judged.where("fate = 'entity_rejected'"), F.lit("too few visits"), "filtering_entity", 2, "o_custkey", "o_orderkey", "o_orderkey")
+    judged = staged(_judged(spark, d), "judged")
     kept = judged.where("fate = 'kept'").select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderkey").cast("string").alias("visit"), F.col("o_orderkey").alias("item"))
-    return kept, stage1.unionByName(stage2)
+    return kept, _rejected(judged)
 
 
 LEDGER = f"""{VISITS}, led AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(o_orderkey AS VARCHAR) AS visit, CAST(o_orderkey AS VARCHAR) AS item,
@@ -86,12 +95,12 @@ LEDGER = f"""{VISITS}, led AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST
 
 @query(f"WITH {LEDGER} SELECT * FROM led")
 def rejection_ledger(spark, d):
-    return big(_ledger(spark, d)[1])
+    return big(_rejected(_judged(spark, d)))
 
 
 @query(f"WITH {LEDGER} SELECT stage, trim(r) AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT stage, unnest(string_split(reason, ',')) AS r FROM led) GROUP BY ALL")
 def rejection_summary(spark, d):
-    return big(C.reasons(_ledger(spark, d)[1]))
+    return big(C.reasons(_rejected(_judged(spark, d))))
 
 
 FUNNEL = """g AS (SELECT stage, count(DISTINCT {who}) AS er, count(DISTINCT visit) AS vr, count(*) AS ir FROM {src} GROUP BY stage),
