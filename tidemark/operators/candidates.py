@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from .images import sobel
+from .images import boundary_ratio, sobel
 from .regions import each_volume, shrunk
 
 METRICS = ("snr_foreground", "cnr_high_low", "boundary_gradient_score", "brain_coverage_fraction", "laplacian_sharpness", "ghosting_score")
@@ -66,3 +66,16 @@ def candidate_metrics(volumes: DataFrame, keys: Sequence[str], shape: Column, da
     """(keys, METRICS) of each volume; mask: an array of booleans beside the data, for a row without one as if none were given. Null data and data that don't fill the shape give no row."""
     rows = lambda v, m=None: [metrics_of(v.astype(float), m, depths)]
     return each_volume(volumes, keys, shape, data, ", ".join(f"{m} double" for m in METRICS), rows, [] if mask is None else [mask])
+
+
+def mask_plausibility(volumes: DataFrame, keys: Sequence[str], shape: Column, data: Column, mask: Column, spacing: Column) -> DataFrame:
+    """(keys, mask_volume_cc, boundary_gradient_score) of a mask (array of booleans) on a volume, cells being `spacing` (array, in mm) apart: the mean gradient on the mask's border over that inside, 0 where either is empty or the inside is flat.
+
+    Rows without data, a mask or a spacing an axis give no row."""
+
+    def rows(v: np.ndarray, m: np.ndarray | None, apart: list[float] | None) -> list[tuple]:
+        if m is None or not apart or len(apart) != v.ndim or None in apart:
+            return []
+        return [(float(m.sum() * np.prod(apart) / 1000), boundary_ratio(v.astype(float), m.astype(bool)))]
+
+    return each_volume(volumes, keys, shape, data, "mask_volume_cc double, boundary_gradient_score double", rows, [mask], [spacing])

@@ -49,6 +49,14 @@ def determinant3(m: Column) -> Column:
     return e(0, 0) * (e(1, 1) * e(2, 2) - e(1, 2) * e(2, 1)) - e(0, 1) * (e(1, 0) * e(2, 2) - e(1, 2) * e(2, 0)) + e(0, 2) * (e(1, 0) * e(2, 1) - e(1, 1) * e(2, 0))
 
 
+def geometry_metrics(direction: Column, spacing: Column) -> Column:
+    """struct of a volume's geometry: direction is 3 x 3, spacing an array of three numbers. An orientation is valid if its determinant is 1 or -1 up to a hundredth."""
+    det, n = determinant3(direction), lambda i: F.get(spacing, i)
+    return F.struct(
+        det.alias("orientation_det"), (F.abs(F.abs(det) - 1) < 0.01).alias("orientation_valid"), *(n(i).alias(f"spacing_{a}") for i, a in enumerate("xyz")),
+        (F.array_max(spacing) - F.array_min(spacing)).alias("spacing_max_diff"), (det * n(0) * n(1) * n(2)).alias("affine_det"))
+
+
 def header_checks(dimension: Column, space: Column, directions: Column, sizes: Column, least_dim: int = 10, most_thickness: float = 10.0, spacing: tuple[float, float] = (0.2, 10.0), anisotropy: float = 20.0, det: tuple[float, float] = (1e-6, 1e6), fov_warn: float = 3.0, fov_block: float = 5.0, least_extent: float = 100.0) -> list[Check]:
     """Checks that need an image's header only: header, scout, spacing, affine, field of view, coverage."""
     first = F.slice(sizes, 1, 3)

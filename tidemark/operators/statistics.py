@@ -234,3 +234,12 @@ def ncc(rows: DataFrame, by: Sequence[str], x: str, y: str, small: float = 1e-8)
     """Normalised cross-correlation, with a small addition to each deviation."""
     parts = rows.groupBy(*by).agg(F.avg(F.col(x) * F.col(y)).alias("xy"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
     return parts.select(*by, ((F.col("xy") - F.col("mx") * F.col("my")) / ((F.col("sx") + small) * (F.col("sy") + small))).alias("ncc"))
+
+
+def similarity(rows: DataFrame, by: Sequence[str], x: str, y: str, same_kind: Column, bins: int = 64, least: int = 100) -> DataFrame:
+    """(by, n, nmi, ncc) of the pairs of values that are both above zero: ncc for groups of one kind (same_kind, true for all of a group's rows), nmi for the others; neither with fewer than `least` pairs."""
+    valid = rows.where((F.col(x) > 0) & (F.col(y) > 0))
+    groups = rows.groupBy(*by).agg(F.bool_and(same_kind).alias("__same"), F.count_if((F.col(x) > 0) & (F.col(y) > 0)).alias("n"))
+    out = groups.join(nmi(valid, by, x, y, bins), list(by), "left").join(ncc(valid, by, x, y), list(by), "left")
+    enough = F.col("n") >= least
+    return out.select(*by, "n", F.when(enough & ~F.col("__same"), F.col("nmi")).alias("nmi"), F.when(enough & F.col("__same"), F.col("ncc")).alias("ncc"))

@@ -188,3 +188,11 @@ def nifti_round_trip(spark, d):
 
     found = nifti.parsed(volumes(spark, d).mapInArrow(write, "path string, content binary"))
     return big(rounded(found.select(F.col("path").cast("long").alias("vec_id"), F.posexplode("data").alias("pos", "v")), "v"))
+
+
+@query(f"""WITH {CANDIDATES} SELECT c.vec_id, {q4('count(*) FILTER (a) * 1.0 * 1.5 * 200 / 1000')} AS mask_volume_cc,
+ {q4('coalesce(avg(sqrt(sx * sx + sy * sy + sz * sz)) FILTER (a AND NOT a6) / nullif(avg(sqrt(sx * sx + sy * sy + sz * sz)) FILTER (a AND a6), 0), 0)')} AS boundary_gradient_score FROM c JOIN k USING (vec_id, p) GROUP BY 1""")
+def mask_plausibility(spark, d):
+    """The cells above zero as a mask: its volume, and how much sharper its border is than its inside."""
+    found = candidates.mask_plausibility(volumes(spark, d), ["vec_id"], shape(), F.col("v"), F.transform("v", lambda x: x > 0), F.array(F.lit(1.0), F.lit(1.5), F.lit(200.0)))
+    return rounded(found, "mask_volume_cc", "boundary_gradient_score")
