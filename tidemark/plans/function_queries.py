@@ -9,7 +9,7 @@ from tidemark.operators import checks as K
 from tidemark.operators import curation as C
 from tidemark.operators import records
 from tidemark.operators import statistics as S
-from tidemark.plans.queries import CHECKS, LEDGER, _checks, _ledger, big, q4, query, rounded
+from tidemark.plans.queries import CHECKS, LEDGER, _checks, _ids, _ledger, big, q4, query, rounded
 from tidemark.sources.tables import table
 
 
@@ -95,9 +95,18 @@ def similarity(spark, d):
     return rounded(S.similarity(rows, ["l_suppkey"], "x", "y", F.col("l_suppkey") % 2 == 0, 8, 20), "nmi", "ncc")
 
 
-@query(f"""WITH {LEDGER} SELECT CAST(l.entity AS BIGINT) AS o_custkey, CAST(l.visit AS BIGINT) AS o_orderkey, l.reason, CAST(o.o_totalprice AS DOUBLE) AS o_totalprice FROM led l JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = l.visit""")
-def rejected_originals(spark, d):
-    """Every rejected visit of the whole ledger beside the order that it was."""
-    gone = _ledger(spark, d)[1]
-    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
-    return gone.select(F.col("entity").cast("long").alias("o_custkey"), F.col("visit").cast("long").alias("o_orderkey"), "reason").join(orders, "o_orderkey").select("o_custkey", "o_orderkey", "reason", "o_totalprice")
+@query(f"""WITH {LEDGER} SELECT item, entity, visit FROM led""")
+def ledger_backtrace(spark, d):
+    """The whole ledger under new ids, traced back to the old ones."""
+    ids = _ids(spark, d)
+    gone = _ledger(spark, d)[1].select("item", F.col("entity").cast("long").alias("o_custkey"), F.col("visit").cast("long").alias("o_orderkey"))
+    renamed = gone.join(ids, ["o_custkey", "o_orderkey"]).select("item", F.col("new_entity").alias("entity"), F.col("new_visit").alias("visit"))
+    return C.trace_back(renamed, ids, "o_custkey", "o_orderkey").select("item", "entity", "visit")
+
+
+@query(f"""WITH {LEDGER}, k AS (SELECT DISTINCT o_custkey FROM f WHERE fate = 'kept'), n AS (SELECT o_custkey, printf('C-%06d', o_custkey) AS old FROM k), m AS (SELECT *, printf('C-%04d', row_number() OVER (ORDER BY old)) AS new FROM n)
+SELECT o_custkey, old, new FROM m WHERE old <> new""")
+def cascade_gap_close(spark, d):
+    """New numbers for the customers that the cascade leaves, without the gaps of those that went."""
+    left = _ledger(spark, d)[0].select(F.col("entity").cast("long").alias("o_custkey")).distinct()
+    return C.close_gaps(left.withColumn("old", F.format_string("C-%06d", "o_custkey")), "o_custkey", "old", "C")
