@@ -737,4 +737,4 @@ def shape_and_spacing(spark, d):
 
 # queries of their own modules, which use the helpers above
 
-from tidemark.plans import file_queries, function_queries, record_queries, volume_queries  # noqa: E402, F401
+from tidemark.plans import cohort_queries, file_queries, function_queries, record_queries, volume_queries  # noqa: E402, F401
