@@ -256,7 +256,7 @@ def test_quantiles_of_large_groups(spark):
             want = np.percentile(vs, [100 * p for p in shares.values()]) if g != "huge" else [got[g][n] for n in shares]
             assert [got[g][n] for n in shares] == pytest.approx(list(want), rel=1e-9, abs=1e-12), (g, most)
     # NaN after all, infinities at the ends, in small and large groups; values next to each other and of every size
-    odd = {"nan": [1.0, 2.0, 3.0] * 200 + [float("nan")] * 40, "ends": [float("-inf")] * 70 + list(range(500)) + [float("inf")] * 90, "all": [float("inf")] * 300, "mixed": [float("nan")] * 100 + [float("-inf")] * 100, "next": [5e-324, 1e-323] * 300, "sizes": [10.0 ** k for k in range(-300, 300)]}
+    odd = {"nan": [1.0, 2.0, 3.0] * 200 + [float("nan")] * 40, "ends": [float("-inf")] * 70 + list(range(500)) + [float("inf")] * 90, "all": [float("inf")] * 300, "mixed": [float("nan")] * 100 + [float("-inf")] * 100, "next": [5e-324, 1e-323] * 300, "sizes": [10.0 ** k for k in range(-300, 300, 3)]}
     far = spark.createDataFrame([(g, float(v)) for g, vs in odd.items() for v in vs], "g string, v double").repartition(3)
     for most, bins in ((100_000, 1024), (100, 64)):
         got = {r.g: r for r in quantiles(far, ["g"], "v", shares, most, bins).collect()}

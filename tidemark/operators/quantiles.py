@@ -41,6 +41,7 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     sizes = staged(values.groupBy(*keys).agg(*first, F.count("*").alias("n"), F.count_if(v == LOWEST).alias("below"), F.count(inner).alias("inner"), F.count_if(v == HIGHEST).alias("above"), F.min(inner).alias("lo"), F.max(inner).alias("hi")), "group-sizes")
     places = [(n, F.lit(p) * (F.col("n") - 1)) for n, p in shares.items()]
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at), F.ceil(at)) for _, at in places))))
+    spans = lambda open_ranks: open_ranks.select(*keys, "lo", "hi").distinct()  # noqa: E731  ranks in one interval are counted together
     wanted = sizes.select(*keys, F.explode(ranks).alias("rank"), "below", "inner", "above", "lo", "hi")
     finite = F.col("rank") - F.col("below")
     ends = F.when(finite < 0, LOWEST).when(finite < F.col("inner") + F.col("above"), HIGHEST).otherwise(float("nan"))
@@ -53,17 +54,19 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
         wide = open_.where((F.col("n") > group_rows) & (F.col("lo") < F.col("hi")))
         if not many or wide.isEmpty():
             break
-        inside = join_checked(values.select(*keys, "__v"), wide, keys, rows=many).where("__v between lo and hi")
-        hist = inside.groupBy(*keys, "rank", "left", bin_between(v, F.col("lo"), F.col("hi"), bins, turn % 2 == 1).alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        inside = join_checked(values.select(*keys, "__v"), spans(wide), keys, rows=many).where("__v between lo and hi")
+        hist = inside.groupBy(*keys, F.col("lo").alias("from"), F.col("hi").alias("to"), bin_between(v, F.col("lo"), F.col("hi"), bins, turn % 2 == 1).alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
         upto = Window.partitionBy(*keys, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+        each = wide.select(*keys, "rank", "left", F.col("lo").alias("from"), F.col("hi").alias("to")).join(hist, [*keys, "from", "to"])
         left = F.col("left") - F.coalesce(F.sum("n").over(upto), F.lit(0))
-        open_ = hist.withColumn("left", left).where("left >= 0 and left < n").select(*keys, "rank", "left", "n", "lo", "hi")
+        open_ = each.withColumn("left", left).where("left >= 0 and left < n").select(*keys, "rank", "left", "n", "lo", "hi")
         turn += 1
     done, many = counted(done, "ranks")
     short = done.where("lo < hi")
-    picked = join_checked(values.select(*keys, "__v"), short.drop("n"), keys, rows=many).where("__v between lo and hi")
-    picked = picked.groupBy(*keys, "rank", "left").agg(F.sort_array(F.collect_list("__v")).alias("all"))  # group_rows values at most
-    each = picked.select(*keys, "rank", F.get("all", F.col("left").cast("int")).alias("at")).unionByName(done.where("lo = hi").select(*keys, "rank", F.col("lo").alias("at"))).unionByName(ended)
+    picked = join_checked(values.select(*keys, "__v"), spans(short), keys, rows=many).where("__v between lo and hi")
+    picked = picked.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("all"))  # group_rows values at most
+    found = short.select(*keys, "rank", "left", "lo", "hi").join(picked, [*keys, "lo", "hi"]).select(*keys, "rank", F.get("all", F.col("left").cast("int")).alias("at"))
+    each = found.unionByName(done.where("lo = hi").select(*keys, "rank", F.col("lo").alias("at"))).unionByName(ended)
     known = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("known"))  # two entries a quantile at most
     full = sizes.join(known, keys)
     value_of = lambda rank: F.try_element_at("known", rank.cast("long"))
