@@ -46,7 +46,7 @@ def nested_metrics(spark, d):
 
 #: Customers as entities of a cohort: an age, a sex and a scanner that some lack, and what curation says of them.
 PATIENTS = """pt AS (SELECT 'P' || c_custkey AS patient_id, CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey + 20 AS BIGINT) END AS age, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey % 2 AS BIGINT) END AS sex,
- CASE WHEN c_acctbal < 5000 THEN c_mktsegment || ', "3T"' END AS scanner, c_acctbal > 0 AS included, CASE WHEN c_acctbal <= 0 THEN 'balance, ' || c_mktsegment END AS exclusion_reason, CASE WHEN c_acctbal > 0 THEN 'M-' || c_custkey END AS mengrowth_id FROM customer)"""
+ CASE WHEN c_acctbal < 5000 THEN c_mktsegment || ', "3T"' END AS scanner, c_acctbal > 0 AS included, CASE WHEN c_acctbal <= 0 THEN 'balance, ' || c_mktsegment END AS exclusion_reason, CASE WHEN c_acctbal > 0 THEN 'M-' || c_custkey END AS assigned_id FROM customer)"""
 FIELDS = {"age": "bigint", "sex": "bigint", "scanner": "string"}
 
 
@@ -55,7 +55,7 @@ def _patients(spark, d):
     return table(spark, d, "customer").select(
         F.concat(F.lit("P"), "c_custkey").alias("patient_id"), F.when(nation % 5 != 0, (nation + 20).cast("long")).alias("age"), F.when(nation % 3 != 0, (nation % 2).cast("long")).alias("sex"),
         F.when(balance < 5000, F.concat("c_mktsegment", F.lit(', "3T"'))).alias("scanner"), (balance > 0).alias("included"), F.when(balance <= 0, F.concat(F.lit("balance, "), "c_mktsegment")).alias("exclusion_reason"),
-        F.when(balance > 0, F.concat(F.lit("M-"), "c_custkey")).alias("mengrowth_id"))
+        F.when(balance > 0, F.concat(F.lit("M-"), "c_custkey")).alias("assigned_id"))
 
 
 @query(f"WITH {PATIENTS} SELECT * FROM pt")

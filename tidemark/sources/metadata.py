@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ends an entry of a map that is written with two spaces a level; a text's own line ends are escaped, so nothing else reads like it.
 ENTRY_END = "\n  }"
-#: Fixed names of what curation adds to an entity.
-CURATION = "struct<included:boolean,exclusion_reason:string,mengrowth_id:string>"
-DEFAULTS = {"included": True, "exclusion_reason": None, "mengrowth_id": None}
+#: What curation adds to an entity, with its defaults; in files the columns may have other names.
+DEFAULTS = {"included": True, "exclusion_reason": None, "assigned_id": None}
 
 
 def read_root_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -36,10 +35,11 @@ def strip_texts(json: Column) -> Column:
     return F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
 
 
-def with_curation(rows: DataFrame, value: str = "value") -> DataFrame:
-    """rows with DEFAULTS' columns out of a value's `_curation`; what it lacks has its default."""
-    found = F.from_json(F.get_json_object(value, "$._curation"), CURATION)
-    return rows.withColumns({c: F.coalesce(found[c], F.lit(d).cast("boolean" if c == "included" else "string")) for c, d in DEFAULTS.items()})
+def with_curation(rows: DataFrame, value: str = "value", renamed: dict[str, str] | None = None) -> DataFrame:
+    """rows with DEFAULTS' columns out of a value's `_curation`; what it lacks has its default. renamed: columns under another name there."""
+    names = {c: (renamed or {}).get(c, c) for c in DEFAULTS}
+    found = F.from_json(F.get_json_object(value, "$._curation"), ", ".join(f"`{n}` {'boolean' if c == 'included' else 'string'}" for c, n in names.items()))
+    return rows.withColumns({c: F.coalesce(found[names[c]], F.lit(d).cast("boolean" if c == "included" else "string")) for c, d in DEFAULTS.items()})
 
 
 def metadata_lines(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
