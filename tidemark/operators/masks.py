@@ -49,7 +49,7 @@ def compare_propagated(propagated: DataFrame, independent: DataFrame, cell_volum
     propagated has (key "time_modality", reference, mask), independent (study, modality, mask), masks being arrays of booleans. A study belongs to a time if its name ends with it after a dash; names are
     looked up by each of their ends, not compared one by one, and of several studies the first by name is taken. Rows that can't be compared keep their reason; repeated keys are rows each; volumes are cells times cell_volume."""
     time, modality = split_key(F.col("key"))
-    rows = propagated.select("key", "reference", "mask", time.alias("timestamp"), modality.alias("modality"), F.monotonically_increasing_id().alias("__row"))
+    rows = propagated.select("key", "reference", "mask", time.alias("timestamp"), modality.alias("modality"))
     parts = F.split("study", "-")
     ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.greatest(F.size(parts) - i + 1, F.lit(0))), "-"))
     named = independent.where(F.col("study").contains("-") & F.col("mask").isNotNull()).select("study", "modality", F.explode(ends).alias("timestamp"))
@@ -57,13 +57,11 @@ def compare_propagated(propagated: DataFrame, independent: DataFrame, cell_volum
     held = independent.where(F.col("mask").isNotNull()).groupBy("study", "modality").agg(F.first("mask").alias("independent"))
     found = join_checked(rows, first, ["timestamp", "modality"], "left", rows=n).join(held, ["study", "modality"], "left")
     status = F.when(F.col("timestamp").isNull(), BAD_KEY).when(F.col("reference").isNull() | F.col("mask").isNull(), NO_MASK).when(F.col("independent").isNull(), NOT_FOUND).otherwise(COMPARED)
-    found = found.withColumn("status", status)
-    fine = found.where(F.col("status") == COMPARED)
     volume = lambda m: F.size(F.filter(m, lambda x: x)) * cell_volume
-    sized = fine.withColumn("volume_independent", volume("independent")).withColumn("volume_propagated", volume("mask"))
-    sized = sized.withColumn("reference_dice", overlap(F.col("reference"), F.col("mask"), F.lit(0.0))["dice"])
-    measured = compare_masks(sized, ["__row", "volume_independent", "volume_propagated", "reference_dice"], "independent", "mask")
-    return found.select("__row", "key", "timestamp", "modality", "status", F.when(F.col("status") == COMPARED, F.col("study")).alias("study")).join(measured, "__row", "left").drop("__row")
+    sized = found.withColumns({"status": status, "volume_independent": volume("independent"), "volume_propagated": volume("mask"), "reference_dice": overlap(F.col("reference"), F.col("mask"), F.lit(0.0))["dice"]})
+    names = ["key", "timestamp", "modality", "status", "study", "volume_independent", "volume_propagated", "reference_dice"]
+    measured = compare_masks(sized, names, "independent", "mask")
+    return measured.select(*names[:4], *(F.when(F.col("status") == COMPARED, F.col(c)).alias(c) for c in measured.columns[4:]))
 
 
 def volume_summary(rows: DataFrame, value: str) -> DataFrame:
