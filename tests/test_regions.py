@@ -131,3 +131,8 @@ def test_volumes_in_rows(spark):
     assert got[1].mask == [x > 5 for x in range(12)] and got[1].foreground_cells == 6 and got[1].foreground_fraction == pytest.approx(0.5)
     assert all(got[2].mask) and got[2].threshold is None
     assert R.zeroed(v.join(found, "k"), "v", "mask", -1.0).where("k = 1").first().v == [float(x) if x > 5 else -1.0 for x in range(12)]
+
+
+def test_equal_variances_that_rounding_sets_apart():
+    cut = R.otsu_cut(np.array([0, 6, 5, 11]) / 11, 12)  # one cell below or one above: the variances are the same
+    assert cut == 0.5 / 12
