@@ -272,6 +272,27 @@ def test_quantiles_of_large_groups(spark):
     assert quantiles(df.limit(0), ["g"], "v", shares).count() == 0
 
 
+def test_quantiles_round_once(spark):
+    """As a fused multiply-add does, so that a quantile between equal values doesn't leave them out of the range that it ends."""
+    from fractions import Fraction
+
+    from tidemark.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {f"g{k}": np.round(rng.exponential(20.0, int(rng.integers(150, 700))), 2) for k in range(40)} | {"dense": np.round(rng.random(4000) * 0.2, 2)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    shares = {"a": 0.01, "b": 0.25, "c": 0.99}
+    for most in (100_000, 50):
+        got = {r.g: r for r in quantiles(df, ["g"], "v", shares, most, 16).collect()}
+        for g, vs in groups.items():
+            ordered = sorted(map(float, vs))
+            for n, p in shares.items():
+                at = p * (len(ordered) - 1)
+                lo, hi, part = ordered[math.floor(at)], ordered[math.ceil(at)], at - math.floor(at)
+                want = lo if part == 0 else float(Fraction(lo) * Fraction(1.0 - part) + Fraction(hi * part))
+                assert got[g][n] == want, (g, n, most)
+
+
 def test_rules_rolled_up_at_once_are_the_same(spark):
     df = spark.createDataFrame([(i % 7, i, float(i % 13) if i % 5 else None) for i in range(90)], "e int, i int, v double")
     rules = [K.Check("high", F.col("v") > 9, "block"), K.Check("a_low", F.col("v") < 2, "block"), K.Check("odd", F.col("v") % 2 == 1, "warn"), K.Check("off", F.lit(True), "block", enabled=False)]

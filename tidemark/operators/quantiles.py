@@ -22,10 +22,27 @@ def bin_between(value: Column, lo: Column, hi: Column, bins: int, by_size: bool)
     return F.when(value >= hi, bins - 1).otherwise(F.greatest(F.least(F.coalesce(F.floor(share * (bins - 1)), F.lit(0)), F.lit(bins - 2)), F.lit(0)))
 
 
+def between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part, with the product of low and the sum rounded once together (a fused multiply-add), as the engine of the queries' SQL does.
+
+    Where values are dense a quantile's neighbours are equal, and a last bit more or less would leave all values that are equal to it out of a range that it
+    ends. The product's rounding error is taken from halves of its factors. Infinities, NaN and values near the largest double are taken plainly."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  x is computed once
+    half = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # noqa: E731  the upper 26 bits
+
+    def fused(v: Column) -> Column:
+        a, b, y = v["a"], v["b"], v["y"]
+        p, s = a * b, a * b + y
+        lost = ((half(a) * half(b) - p) + half(a) * (b - half(b)) + (a - half(a)) * half(b)) + (a - half(a)) * (b - half(b))
+        return F.when(F.greatest(F.abs(a), F.abs(y)) < 1e290, s + (((p - (s - (s - p))) + (y - (s - p))) + lost)).otherwise(s)
+
+    return bound(F.struct(low.alias("a"), (F.lit(1.0) - part).alias("b"), (high * part).alias("y")), fused)
+
+
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], group_rows: int = GROUP_ROWS, bins: int = BINS) -> DataFrame:
     """(by, a column for each of shares): the quantiles of each group's values that aren't null, between two values by distance; null keys are groups too. Infinities are the ends of the order and NaN comes after them.
 
-    The values are written once, narrow, and counted as they are. If no group can be large, built-in percentiles. Else each rank that a quantile needs has an
+    The values are written once, narrow, and counted as they are. If no group can be large, they are sorted. Else each rank that a quantile needs has an
     interval of values that holds it; as long as an interval has over group_rows values, they are counted in bins, and the bin with the rank, cut to the
     values it has, is the next. An interval of one value needs no more, and each round parts an interval's ends, so intervals shrink until few values are left; these are sorted.
     Rounds take bins of equal width and of equal ratio by turns, so values of very different size are narrowed down as fast."""
@@ -33,13 +50,15 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     named = [F.lit(1).alias("__quantile_all"), *(F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")).alias(k) for c, k in zip(by, keys[1:], strict=True))]
     values, total = counted(rows.select(*by, *named, F.col(value).cast("double").alias("__v")).where("__v is not null"), "quantile-values")
     first = [F.first(c).alias(c) for c in by]
+    place = lambda n, p: F.lit(p) * (n - 1)
+    at_place = lambda value_at, at: F.when(F.floor(at) == F.ceil(at), value_at(F.floor(at))).otherwise(between(value_at(F.floor(at)), value_at(F.ceil(at)), at - F.floor(at)))
     if total <= group_rows:
-        found = values.groupBy(*keys).agg(*first, F.percentile("__v", list(shares.values())).alias("__p"))
-        return found.select(*by, *(F.get("__p", i).alias(n) for i, n in enumerate(shares)))
+        found = values.groupBy(*keys).agg(*first, F.sort_array(F.collect_list("__v")).alias("all"))  # group_rows values at most
+        return found.select(*by, *(at_place(lambda rank: F.get("all", rank.cast("int")), place(F.size("all"), p)).alias(n) for n, p in shares.items()))
     v = F.col("__v")
     inner = F.when(~F.isnan(v) & (v > LOWEST) & (v < HIGHEST), v)
     sizes = staged(values.groupBy(*keys).agg(*first, F.count("*").alias("n"), F.count_if(v == LOWEST).alias("below"), F.count(inner).alias("inner"), F.count_if(v == HIGHEST).alias("above"), F.min(inner).alias("lo"), F.max(inner).alias("hi")), "group-sizes")
-    places = [(n, F.lit(p) * (F.col("n") - 1)) for n, p in shares.items()]
+    places = [(n, place(F.col("n"), p)) for n, p in shares.items()]
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at), F.ceil(at)) for _, at in places))))
     spans = lambda open_ranks: open_ranks.select(*keys, "lo", "hi").distinct()  # noqa: E731  ranks in one interval are counted together
     wanted = sizes.select(*keys, F.explode(ranks).alias("rank"), "below", "inner", "above", "lo", "hi")
@@ -70,5 +89,4 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     known = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("known"))  # two entries a quantile at most
     full = sizes.join(known, keys)
     value_of = lambda rank: F.try_element_at("known", rank.cast("long"))
-    between = {n: (F.ceil(at) - at) * value_of(F.floor(at)) + (at - F.floor(at)) * value_of(F.ceil(at)) for n, at in places}
-    return full.select(*by, *(F.when(F.floor(at) == F.ceil(at), value_of(F.floor(at))).otherwise(between[n]).alias(n) for n, at in places))
+    return full.select(*by, *(at_place(value_of, at).alias(n) for n, at in places))
