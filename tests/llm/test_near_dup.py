@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm.components import components
 from tidemark.llm.near_dup import majority_bits, near_duplicates, one_of_each, shingle_hashes
+from tidemark.llm import simhash_links
 from tidemark.llm.simhash_links import fingerprint_groups
 
 
@@ -155,3 +156,17 @@ def test_a_group_of_copies_about_the_threshold_loses_no_link(spark):
     rooms = {r.node: r.room for r in shared_rooms(spark.createDataFrame([(i, sorted(numbers[x] for x in s)) for i, s in enumerate(sets)], "node long, held array<long>"), 0.8).collect()}
     assert all(rooms[x] >= len(sets[i] & sets[j]) for i, j in alike for x in (i, j)) and len(rooms) < 120
     assert shared_rooms(spark.createDataFrame([], "node long, held array<long>"), 0.8).count() == 0
+
+
+def test_exploded_keys_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans = {}
+    real = simhash_links.staged
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(simhash_links, "staged", kept)
+    nodes = real(spark.createDataFrame([(n, n) for n in range(0, 4000, 7)], "node long, f0 long"), "nodes")
+    fingerprint_groups(nodes).count()
+    assert "SortMergeJoin" in plans["simhash-hits"] and "Broadcast" not in plans["simhash-hits"]

@@ -21,6 +21,11 @@ SHARED_KEYS = 2_000_000
 LEADS = 4
 
 
+def shuffled(exploded: DataFrame) -> DataFrame:
+    """A table whose joins shuffle. Spark takes rows made by explode for as small as the file they are made from, and would send many times that through the driver."""
+    return exploded.hint("merge")
+
+
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Differing bits of two fingerprints."""
     out = F.lit(0)
@@ -69,6 +74,7 @@ def apart_rows(hits: DataFrame, comp: DataFrame, stored: Column) -> tuple[DataFr
 
 def met(left: DataFrame, on: list[str], names: list[str], condition: Column) -> DataFrame:
     """Rows of left beside the stored ones (their columns after y_) that share `on`: each row of the rest with all, each other one with the rest only."""
+    left = shuffled(left)
     y = left.where("stored").select(*on, *(F.col(n).alias(f"y_{n}") for n in (*names, "rest")))
     return left.where("rest").join(y, on).where(condition).unionByName(left.where("not rest").join(y.where("y_rest"), on).where(condition))
 
@@ -92,7 +98,7 @@ def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most:
     stored = nodes.select("node", *prints, F.explode(own).alias("key"))
     lead = stored.groupBy("key").agg(F.min(F.struct("node", *prints)).alias("lead"), F.count("*").alias("held"))
     rows = stored.withColumn("stored", F.lit(True)).unionByName(nodes.select("node", *prints, F.explode(others).alias("key")).withColumn("stored", F.lit(False)))
-    hits = staged(rows.join(lead, "key").where(F.col("node") != F.col("lead.node")), "simhash-hits")
+    hits = staged(shuffled(rows).join(lead, "key").where(F.col("node") != F.col("lead.node")), "simhash-hits")
     near = distance([F.col(f) for f in prints], [F.col(f"lead.{f}") for f in prints]) <= most
     comp = components(hits.where(near).select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
     left, n = apart_rows(hits.where("held > 1").select("node", *prints, "key", "stored"), comp, F.col("stored"))
@@ -123,7 +129,7 @@ def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], Dat
     between different components, one of the rest."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "keys-shared")
-    hits = staged(join_checked(rows, shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
+    hits = staged(join_checked(rows if n <= SHARED_KEYS else shuffled(rows), shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
     lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("held"))
     led = staged(hits.join(lead, "key").where("node <> lead.node"), "keys-led")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike
