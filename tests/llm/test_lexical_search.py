@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from tidemark.llm import lexical_search
 from tidemark.llm.lexical_search import TERM, best, search
@@ -53,6 +54,14 @@ def test_search(spark, monkeypatch):
         assert search(a, b).count() == 0
 
 
+def test_a_row_group_of_the_index_is_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "SHARD_BYTES", 200)
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(300)], "doc_id long, text string").coalesce(1)
+    index, _ = lexical_search.build_index(df)
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in index.inputFiles()]
+    assert index.count() > 20 and all(m.row_group(i).num_rows == 1 for m in groups for i in range(m.num_row_groups))
+
+
 def test_best_keeps_ties_by_id():
     scores, ids, none = np.array([5, 9, 5, 5, 0, 5]), np.array([4, 8, 2, 0, 1, 3]), np.array([False, False, False, True, False, False])
     assert sorted(best(scores, ids, none, 3).tolist()) == [1, 2, 5]

@@ -23,6 +23,8 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 SHARD_BYTES = 16 << 20
 #: Different terms of items that go to the tasks at a time, some; items beyond that come in further blocks.
 BLOCK_TERMS = 1_000_000
+#: Rows of a row group of the index's files. Writers hold a whole row group and readers too, which without this is 100 shards at least before its size counts.
+ROW_GROUP = {"parquet.block.row.count.limit": 1}
 INDEX = "ids array<long>, terms array<string>, counts array<int>, slots binary, impacts binary"
 
 
@@ -64,7 +66,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
                 ["ids", "terms", "counts", "slots", "impacts"])
 
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return staged(own.mapInArrow(run, INDEX), "postings"), held
+    return staged(own.mapInArrow(run, INDEX), "postings", **ROW_GROUP), held
 
 
 def item_terms(items: DataFrame, index: DataFrame, held: int, key: str, text: str) -> tuple[DataFrame, int]:

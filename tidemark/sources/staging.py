@@ -34,10 +34,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: the plan behind it runs once and its lineage ends here."""
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: the plan behind it runs once and its lineage ends here. options: of the Parquet writer."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
