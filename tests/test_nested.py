@@ -50,3 +50,23 @@ def test_repeats_missing_names_and_broken_texts(spark):
     broken = spark.createDataFrame([("a", "no json"), ("b", None), ("c", "{}"), ("d", '{"studies":{"0":{"files":{"t1":{"checks":{"x":{}}}}}}}')], "e string, value string")
     assert [tuple(r)[:7] for r in N.flattened(N.from_nested_json(broken, "e"), "e").collect()] == [("d", "0", "t1", "file", "x", True, "warn")]
     assert N.nested(spark.createDataFrame([], schema), "e", "v", "i").count() == 0
+
+
+def test_rules_nested_straight_from_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.checks import Check, run_checks
+
+    def rules(c=F.col):
+        return [Check("x", c("x") > 3, "block", F.format_string("x %d", c("x")), {"x": c("x")}), Check("y", c("y") > 2, "warn", "y", {"y": c("y")}), Check("off", c("x") > 0, "block", enabled=False)]
+
+    rng = random.Random(4)
+    some = lambda *v: rng.choice([*v, None])
+    rows = [(some(1, 2, 3, 4), some(1, 2), some("a", "b"), some(0, 2, 4, 5), some(1.0, 3.5), "wide" * 50) for _ in range(120)] + [(9, 1, "a", 0, 0.0, "")]
+    df = spark.createDataFrame(rows, "e int, v int, i string, x int, y double, more string").repartition(3)
+    straight = N.nested_rules(df, "e", "v", "i", ["x", "y"], rules)
+    long = N.nested(run_checks(df, ["e", "v", "i"], rules()), "e", "v", "i")
+    loaded = lambda d: {r.e: json.loads(r.value) for r in N.nested_json(d, "e").collect()}
+    assert loaded(straight) == loaded(long) and {d["status"] for d in loaded(straight).values()} == {"blocked", "passed"}
+    plan = straight._jdf.queryExecution().optimizedPlan().toString()
+    assert "more" not in plan.split("RepartitionByExpression")[0] and "Generate" not in plan

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.checks import Check
+
 RESULT = "struct<passed:boolean,action:string,message:string,details:map<string,double>>"
 CHECKS = f"map<string,{RESULT}>"
 #: Fixed names of the document's parts; readers of it know them.
@@ -40,6 +43,43 @@ def nested(checks: DataFrame, entity: str, visit: str, item: str) -> DataFrame:
     return whole.select(F.col("entity").alias(entity), F.struct("status", "studies", "patient_level_checks").cast(DOCUMENT).alias("document"))
 
 
+def _blocks(check: Check) -> Column:
+    action = check.action if isinstance(check.action, Column) else F.lit(check.action)
+    return F.coalesce(check.fails & (action == "block"), F.lit(False)) if check.enabled else F.lit(False)
+
+
+def nested_rules(rows: DataFrame, entity: str, visit: str, item: str, columns: Sequence[str], rules: Callable[[Callable[[str], Column]], Sequence[Check]]) -> DataFrame:
+    """What nested gives of run_checks' rows of files, straight from rows: rules makes the checks of a row whose `columns` the function that it is given names.
+
+    Rows are dealt by their entity and gathered by item, visit and entity with these columns only; checks, names and messages are made of the gathered rows, so that they are neither shuffled nor sorted."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    held = lambda *e: F.collect_list(F.struct(*e))  # noqa: E731  of an entity's own rows
+    own = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), name(visit).alias("visit"), name(item).alias("item"), F.struct(*columns).alias("row")).repartition("entity")
+    items = own.groupBy("entity", "visit", "item").agg(F.collect_list("row").alias("rows"))
+    visits = items.groupBy("entity", "visit").agg(held("item", "rows").alias("items"))
+    whole = visits.groupBy("entity").agg(held("visit", "items").alias("visits"))
+    none = F.create_map().cast(CHECKS)
+
+    def worst(results: Column) -> Column:
+        order = F.transform(results, lambda r, i: F.struct(~r["passed"], r["action"], r["message"], F.to_json(r["details"]), i.alias("i")))
+        return F.get(results, F.array_max(order)["i"])
+
+    def checks(held_rows: Column) -> Column:
+        names = [c.name for c in rules(F.col)]
+        made = lambda r, k: F.struct(*(rules(lambda c: r[c])[k].result()[x].alias(x) for x in ("passed", "action", "message", "details"))).cast(RESULT)
+        each = [F.when(F.size(held_rows) == 1, made(F.get(held_rows, 0), k)).otherwise(worst(F.transform(held_rows, lambda r: made(r, k)))) for k in range(len(names))]
+        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*each))
+
+    # repeats that don't stay block as well
+    fails = lambda r: reduce(Column.__or__, (_blocks(c) for c in rules(lambda c: r[c])))
+    blocked = lambda v: F.exists(v["items"], lambda i: F.exists(i["rows"], fails))
+    state = lambda hit: F.when(hit, "blocked").otherwise("passed")
+    files = lambda v: F.map_from_entries(F.transform(v["items"], lambda i: F.struct(i["item"], F.struct(checks(i["rows"]).alias("checks")))))
+    studies = F.map_from_entries(F.transform("visits", lambda v: F.struct(v["visit"], F.struct(state(blocked(v)).alias("status"), files(v).alias("files"), none.alias("study_level_checks")))))
+    document = F.struct(state(F.exists("visits", blocked)).alias("status"), studies.alias("studies"), none.alias("patient_level_checks"))
+    return whole.select(F.col("entity").alias(entity), document.cast(DOCUMENT).alias("document"))
+
+
 def nested_json(documents: DataFrame, entity: str) -> DataFrame:
     """(entity, value): each document as JSON; nulls have no field there."""
     return documents.select(entity, F.to_json("document").alias("value"))

@@ -312,16 +312,20 @@ def pre_post_comparison(spark, d):
 # checks
 
 
-def _rules(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    q, p, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
-    rules = [
+def _line_rules(c=F.col):
+    """The checks of a line; c gives its columns."""
+    q, p, t = c("l_quantity"), c("l_discount"), c("l_extendedprice")
+    return [
         K.Check("quantity", q > 48, "block", F.format_string("quantity %d above 48", q.cast("int")), {"quantity": q}),
         K.Check("discount", p > 0.08, "warn", "discount above 0.08", {"discount": p}),
         K.Check("price", t < 2000, "block", "price below 2000", {"price": t}),
-        K.Check("tax", F.col("l_tax") > 1, "block", enabled=False),
+        K.Check("tax", c("l_tax") > 1, "block", enabled=False),
     ]
-    return rows, rules
+
+
+def _rules(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows, _line_rules()
 
 
 def _checks(spark, d):

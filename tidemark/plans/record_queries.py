@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import masks as M
 from tidemark.operators import nested as N
-from tidemark.plans.queries import CHECKS, _checks, big, q4, query, rounded
+from tidemark.plans.queries import CHECKS, _line_rules, _rules, big, q4, query, rounded
 from tidemark.sources import metadata
 from tidemark.sources.staging import new_path
 from tidemark.sources.tables import table
@@ -14,7 +14,8 @@ from tidemark.sources.tables import table
 
 def _documents(spark, d):
     """The checks of lines as nested documents of customers, written as JSON and read again."""
-    return N.from_nested_json(N.nested_json(N.nested(_checks(spark, d), "o_custkey", "o_orderkey", "l_linenumber"), "o_custkey"), "o_custkey")
+    documents = N.nested_rules(_rules(spark, d)[0], "o_custkey", "o_orderkey", "l_linenumber", ["l_quantity", "l_discount", "l_extendedprice", "l_tax"], _line_rules)
+    return N.from_nested_json(N.nested_json(documents, "o_custkey"), "o_custkey")
 
 
 @query(f"""WITH {CHECKS}, d AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey, l_linenumber, check_name ORDER BY passed, action DESC, message DESC) AS r FROM ck)
