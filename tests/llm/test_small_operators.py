@@ -351,3 +351,17 @@ def test_contaminated_where_every_fourth_word_is_changed(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert got == {(2 * i, i) for i in range(8)}
+
+
+def test_lines_alike_in_characters_only(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import line_dedup
+
+    words = [f"{a}ord{b}wise{a}" for a in "bcdfghjk" for b in "lmnpqrst" for _ in range(4)]
+    spoilt = lambda ws, every: " ".join(w[:-1] + "z" if i % every == 0 else w for i, w in enumerate(ws))
+    rows = [(" ".join(words[:12]), spoilt(words[:12], 2), True), (" ".join(words[:12]), spoilt(words[:12], 1), True), (" ".join(words[:200]), spoilt(words[:200], 3), True), (" ".join(words[:200]), " ".join(reversed(words[:200])), False)]
+    df = spark.createDataFrame(rows, "x_norm string, y_norm string, want boolean")
+    for x in "xy":
+        df = df.withColumn(f"{x}_signs", line_dedup.word_signs(F.col(f"{x}_norm"))).withColumn(f"{x}_words", F.transform(F.split(f"{x}_norm", " "), lambda w: F.xxhash64(w)))
+    assert [r.got for r in df.select(line_dedup.alike_lines(0.8).alias("got")).collect()] == [r[2] for r in rows]

@@ -18,8 +18,6 @@ MINIMA, MORE_KEYS = 10, 160
 WORD_BYTES, BY_WORDS, BY_CHARS, WINDOW_CHARS = 4, 8, 9, 5
 #: Code points (first, number) that stand for words when distances are counted in words.
 SIGNS = (0x4E00, 0x5200)
-#: Lines of more than BY_CHARS words are compared by characters as well if this share of their words is in place and they have so many words at most.
-IN_PLACE, CHARS_UPTO = 0.72, 150
 
 
 def normalised(line: Column) -> Column:
@@ -43,19 +41,15 @@ def edit_similarity(x: Column, y: Column, least: float) -> Column:
 def alike_lines(alike: float) -> Column:
     """Whether two lines have an edit similarity of `alike` or more in words, or in characters; columns x_norm, x_signs, x_words (hashes) and the same with y.
 
-    Characters alone decide for lines of BY_CHARS words or fewer. They are looked at too in lines of up to CHARS_UPTO words of which IN_PLACE are in place: with fewer
-    in place, nearly every word is another; in longer lines the distance in characters costs the square of their length and words tell. An
-    edit removes one word at most, so lines with more different words that the other lacks are told apart without a distance."""
+    Characters alone decide if one line has BY_CHARS words or fewer; else words or characters do, whatever the lines' length and however many words are in place. Words come first, as
+    the distance in characters costs most; words that differ place by place, from the start or from the end, are a distance that the least one can't pass."""
     n = [F.size("x_words"), F.size("y_words")]
     longer = F.greatest(*n)
-    lacks = lambda a, b: F.size(F.array_except(a, b)) <= longer * (1 - IN_PLACE)
     differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1)), F.lit(0), lambda t, d: t + d) <= longer * (1 - alike)
-    # words that differ place by place, from the start or from the end, are a distance that the least one can't pass
     aligned = differ(F.col("x_words"), F.col("y_words")) | differ(F.reverse("x_words"), F.reverse("y_words"))
-    in_words = lambda least: edit_similarity(F.col("x_signs"), F.col("y_signs"), least) >= least
+    in_words = edit_similarity(F.col("x_signs"), F.col("y_signs"), alike) >= alike
     in_chars = edit_similarity(F.col("x_norm"), F.col("y_norm"), alike) >= alike
-    near = lacks("x_words", "y_words") & lacks("y_words", "x_words") & (aligned | in_words(alike) | (longer <= CHARS_UPTO) & in_words(IN_PLACE) & in_chars)
-    return F.when(F.least(*n) <= BY_CHARS, in_chars).otherwise(near)
+    return F.when(F.least(*n) <= BY_CHARS, in_chars).otherwise(aligned | in_words | in_chars)
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
