@@ -12,8 +12,9 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.near_dup import one_of_each, similar_documents
 from tidemark.llm.sharding import shard
 
-#: Near duplicates: sets of shingles of five words with a similarity (Jaccard) of 0.8 or more, by their exact sets; 20 bands of 6 minima find 99.8 % of the pairs at 0.8.
-NEAR = {"shingle": 5, "alike": 0.8, "bands": 20, "rows": 6}
+#: Near duplicates: sets of shingles of five words with a similarity (Jaccard) of 0.8 or more, by their exact sets. SimHashes within 3 bits are all met, by multi-index hashing; of the pairs
+#: at 0.8 that differ in more, 20 bands of 6 minima find 99.8 %.
+NEAR = {"shingle": 5, "alike": 0.8, "most": 3, "bands": 20, "rows": 6}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,31 @@ def test_similar_documents_against_exact_sets(spark):
     assert similar_documents(df.limit(0)).count() == 0
 
 
+def test_similar_documents_are_found_by_their_fingerprints_and_confirmed_by_their_sets(spark):
+    from tidemark.llm.near_dup import similar_documents
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for _ in range(25):  # a word changed
+        a = [word() for _ in range(400)]
+        texts += [a, a[:200] + [word()] + a[201:]]
+    body = [word() for _ in range(40)] * 40
+    texts += [body + [word() for _ in range(30)] for _ in range(8)]  # fingerprints by what repeats, sets by what doesn't
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [plain(" ".join(t), 5) for t in texts]
+    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 3
+    want, pairs = list(range(len(texts))), list(itertools.combinations(range(len(texts)), 2))
+    for i, j in pairs:
+        if near(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            want[j] = want[i]
+    assert len(set(want)) < len(texts) - 10 and sum(near(i, j) and i >= 50 for i, j in pairs) > 3
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # one key of so many minima that hardly a pair but of copies shares it: the fingerprints alone are measured
+    got = {r.doc_id: r.component_id for r in similar_documents(df, bands=1, rows=2000).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_a_group_of_copies_about_the_threshold_loses_no_link(spark):
     from tidemark.llm.near_dup import shared_rooms, similar_documents
 

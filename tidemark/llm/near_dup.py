@@ -130,16 +130,21 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame], **how) -> DataF
 
 
 def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """(doc_id, whole, size, keys) and `row` if given: a hash of the set of each text's shingles, its size, and `bands` keys, each of `rows` minima of the set (none without words)."""
+    """(doc_id, f0, whole, size, keys) and `row` if given: the SimHash of each text's shingles, a hash of their set, its size, and `bands` keys, each of `rows` minima of the set (none without words)."""
     draw = np.random.default_rng(SEED)
     turn, times = (draw.integers(0, 1 << 64, bands * rows, dtype=np.uint64) for _ in range(2))
     names = ["doc_id", *([row] if row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole_batch in batches for part in slices(whole_batch, text=0)):
-            whole, size, keys = [], [], []
+            prints, some, whole, size, keys = [], [], [], [], []
             for value in batch.column(0):
-                own = np.unique(np.array(shingle_hashes(value.as_py(), shingle), np.uint64))
+                some.append(np.array(shingle_hashes(value.as_py(), shingle), np.uint64))
+                if sum(map(len, some)) >= CHUNK or len(size) + 1 == batch.num_rows:
+                    prints.append(majority_bits(np.concatenate(some), np.array([*map(len, some)], np.int64), 1)[:, 0])
+                    own, some = np.unique(some[-1]), []
+                else:
+                    own = np.unique(some[-1])
                 whole.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 size.append(len(own))
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
@@ -147,10 +152,10 @@ def shingle_sketches(docs: DataFrame, shingle: int, bands: int, rows: int, key:
                     least = np.minimum(least, ((own[at: at + 1024, None] ^ turn) * (times | np.uint64(1))).min(axis=0))
                 keys.append([xxhash.xxh64_intdigest(least[b * rows: (b + 1) * rows].tobytes(), b) for b in range(bands)] if len(own) else [])
             signed = [np.array(k, np.uint64).view(np.int64) for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], [*names, "whole", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], [*names, "f0", "whole", "size", "keys"])
 
     own = docs.select(F.col(text).cast("string").alias("text"), *carried(key, row))
-    return own.mapInArrow(run, f"{', '.join(f'{n} long' for n in names)}, whole long, size long, keys array<long>")
+    return own.mapInArrow(run, f"{', '.join(f'{n} long' for n in names)}, f0 long, whole long, size long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -183,15 +188,16 @@ def rest_pairs(nodes: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return set_pairs(nodes, join_checked(sets, room, "node", rows=n), alike)
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, bands: int = 20, rows: int = 6, most: int = 3, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, whole, component_id, group) and `row` if given: documents whose sets of shingles have a similarity (Jaccard) of `alike` or more are linked.
 
-    A pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
+    First all whose SimHashes differ in `most` bits or fewer are candidates, by multi-index hashing as in near_duplicates. Pairs at 0.8 differ in some ten bits, so minima add candidates between the
+    groups so found: a pair of similarity s is a candidate with a probability of 1 - (1 - s ** rows) ** bands, 99.8 % at 0.8; the sets
     themselves decide; rows still apart under a key are paired by their rarest elements (rest_pairs). Equal sets are one node, of which one text is looked up, by its row. Nulls, empty texts, repeated and null ids count as in near_duplicates."""
     at = row or "__row"
     docs = docs if row else with_rows(docs.select(key, text), key, "similar-rows")
     found = staged(shingle_sketches(docs, shingle, bands, rows, key, text, at), "sketches")
-    nodes = found.groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min(at).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = found.groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min(at).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("f0").alias("f0"))
     nodes = staged(nodes.withColumn("whole", F.col("node")), "sketch-nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -206,5 +212,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, alike: float = 0.8, ban
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= (F.size("x") + F.size("y") - shared) * alike).select("a", "b")
 
-    found_groups = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda left: rest_pairs(left, sets_of(left.select("node")), alike))
-    return with_groups(found.drop("keys", "size"), nodes.drop("keys", "row", "size"), found_groups, ["whole"], row)
+    near = fingerprint_groups(nodes.where("size > 0").select("node", "f0"), most=most, verify=verify)
+    found_groups = key_groups(nodes.select("node", "size", "keys"), alike, verify, lambda left: rest_pairs(left, sets_of(left.select("node")), alike), near)
+    return with_groups(found.drop("keys", "size", "f0"), nodes.drop("keys", "row", "size", "f0"), found_groups, ["whole"], row)

@@ -72,6 +72,10 @@ def apart_rows(hits: DataFrame, comp: DataFrame, stored: Column) -> tuple[DataFr
     return counted(shared.join(mixed, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main"), "links-apart")
 
 
+def either(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
 def met(left: DataFrame, on: list[str], names: list[str], condition: Column) -> DataFrame:
     """Rows of left beside the stored ones (their columns after y_) that share `on`: each row of the rest with all, each other one with the rest only."""
     left = shuffled(left)
@@ -87,12 +91,13 @@ def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return staged(every.join(up, "component", "left").groupBy("node").agg(F.min(F.coalesce("above", "component")).alias("component")), "merged")
 
 
-def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most: int = 3) -> DataFrame:
-    """(node, component): for each node that is linked, the smallest node that it reaches; nodes (node, f0, ...) are different fingerprints.
+def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most: int = 3, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component): for each node that is linked, the smallest node that it reaches; nodes (node, f0, ...) are different fingerprints, or with verify different texts.
 
     Two are linked if they share a segment up to one bit and differ in `most` bits or fewer in all. A segment's value that many have isn't expanded into
     pairs: first all its rows are compared with its smallest node, which leaves dense groups connected; then only
-    rows of different components are compared, with words of 64 bits and three bits only those that share two parts of the other segment as well."""
+    rows of different components are compared, with words of 64 bits and three bits only those that share two parts of the other segment as well.
+    verify, if given, keeps the rows of (a, b) that are links; fingerprints alone make candidates then."""
     prints = [f"f{w}" for w in range(words)]
     own, others = segment_keys(words, width)
     stored = nodes.select("node", *prints, F.explode(own).alias("key"))
@@ -100,7 +105,8 @@ def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most:
     rows = stored.withColumn("stored", F.lit(True)).unionByName(nodes.select("node", *prints, F.explode(others).alias("key")).withColumn("stored", F.lit(False)))
     hits = staged(shuffled(rows).join(lead, "key").where(F.col("node") != F.col("lead.node")), "simhash-hits")
     near = distance([F.col(f) for f in prints], [F.col(f"lead.{f}") for f in prints]) <= most
-    comp = components(hits.where(near).select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
+    pairs = hits.where(near).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+    comp = components(verify(pairs.select(*either("a", "b")).distinct()) if verify else pairs)
     left, n = apart_rows(hits.where("held > 1").select("node", *prints, "key", "stored"), comp, F.col("stored"))
     if not n:
         return comp
@@ -108,10 +114,19 @@ def fingerprint_groups(nodes: DataFrame, words: int = 1, width: int = 32, most:
     if words == 1 and width == 32 and most <= 3:
         left, on = left.withColumn("part", F.explode(other_parts(F.col("key"), F.col("f0")))), ["key", "part"]
     apart = distance([F.col(f) for f in prints], [F.col(f"y_{f}") for f in prints]) <= most
-    pairs = met(left, on, [*prints, "component"], (F.col("component") != F.col("y_component")) & apart)
+    pairs = met(left, on, ["node", *prints, "component"], (F.col("component") != F.col("y_component")) & apart)
+    if verify:
+        return linked(comp, verify(pairs.select(*either("node", "y_node")).distinct()))
     return merged(comp, pairs.select(F.col("component").alias("a"), F.col("y_component").alias("b")))
 
 
+def unlinked(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b) that comp (node, component) doesn't have in one component."""
+    for x in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_group")), x, "left")
+    return pairs.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+
+
 def linked(comp: DataFrame, pairs: DataFrame) -> DataFrame:
     """comp (node, component) after the nodes of pairs (a, b) are linked."""
     for x in ("a", "b"):
@@ -119,22 +134,22 @@ def linked(comp: DataFrame, pairs: DataFrame) -> DataFrame:
     return merged(comp, pairs)
 
 
-def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame], apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def key_groups(nodes: DataFrame, alike: float, verify: Callable[[DataFrame], DataFrame], apart: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, component): for each node that is linked, the smallest node that it reaches, from nodes (node, size, keys).
 
     Nodes that share a key are candidates if the smaller has at least `alike` times the other's size, and verify keeps some rows of (a, b). As above, a
     key's rows are first compared with its smallest node. Those outside its largest component are compared with LEADS of that one's nodes, drawn by
     hash, which links most of a group of near copies of which many are not like the first; then those still apart with all of other components.
     apart, if given, makes the pairs (a, b) of this last step from the nodes (node, component, rest) that are still apart in a key; it must give all that verify would keep
-    between different components, one of the rest."""
+    between different components, one of the rest. known (node, component), if given, are links found before; pairs within one of its components aren't verified again."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared, n = counted(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "keys-shared")
     hits = staged(join_checked(rows if n <= SHARED_KEYS else shuffled(rows), shared, "key", most=SHARED_KEYS, rows=n), "keys-hits")
     lead = hits.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("held"))
     led = staged(hits.join(lead, "key").where("node <> lead.node"), "keys-led")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * alike
-    either = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    comp = components(verify(led.where(fits(F.col("size"), F.col("lead.size"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()))
+    pairs = led.where(fits(F.col("size"), F.col("lead.size"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+    comp = components(verify(pairs)) if known is None else linked(known, verify(unlinked(known, pairs)))
     left, n = apart_rows(led.where("held > 2").select("node", "size", "key"), comp, F.lit(True))
     if not n:
         return comp
