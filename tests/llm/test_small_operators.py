@@ -365,3 +365,22 @@ def test_lines_alike_in_characters_only(spark):
     for x in "xy":
         df = df.withColumn(f"{x}_signs", line_dedup.word_signs(F.col(f"{x}_norm"))).withColumn(f"{x}_words", F.transform(F.split(f"{x}_norm", " "), lambda w: F.xxhash64(w)))
     assert [r.got for r in df.select(line_dedup.alike_lines(0.8).alias("got")).collect()] == [r[2] for r in rows]
+
+
+def test_lines_are_compared_after_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    from tidemark.llm import line_dedup
+
+    plans, real = [], line_dedup.key_groups
+
+    def kept(nodes, alike, verify):
+        def seen(pairs):
+            links = verify(pairs)
+            plans.append(links._jdf.queryExecution().optimizedPlan().toString())
+            return links
+        return real(nodes, alike, seen)
+
+    monkeypatch.setattr(line_dedup, "key_groups", kept)
+    line = "the quick brown foxes jumped over seventeen lazy sleeping hounds near rivers"
+    df = spark.createDataFrame([(i, f"{line} {c * 4}") for i, c in enumerate("abcdef")], "doc_id long, text string")
+    assert [r.n_dropped for r in sorted(line_duplicates(df).collect())] == [0, 1, 1, 1, 1, 1]
+    assert plans and all(-1 < p.find("levenshtein") < p.find("RepartitionByExpression") for p in plans)  # the comparison stands above

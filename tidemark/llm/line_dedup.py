@@ -39,17 +39,13 @@ def edit_similarity(x: Column, y: Column, least: float) -> Column:
 
 
 def alike_lines(alike: float) -> Column:
-    """Whether two lines have an edit similarity of `alike` or more in words, or in characters; columns x_norm, x_signs, x_words (hashes) and the same with y.
+    """Whether two lines have an edit similarity of `alike` or more in words, or in characters; columns x_norm, x_signs (a character a word) and the same with y.
 
     Characters alone decide if one line has BY_CHARS words or fewer; else words or characters do, whatever the lines' length and however many words are in place. Words come first, as
-    the distance in characters costs most; words that differ place by place, from the start or from the end, are a distance that the least one can't pass."""
-    n = [F.size("x_words"), F.size("y_words")]
-    longer = F.greatest(*n)
-    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1)), F.lit(0), lambda t, d: t + d) <= longer * (1 - alike)
-    aligned = differ(F.col("x_words"), F.col("y_words")) | differ(F.reverse("x_words"), F.reverse("y_words"))
+    the distance in characters costs most."""
     in_words = edit_similarity(F.col("x_signs"), F.col("y_signs"), alike) >= alike
     in_chars = edit_similarity(F.col("x_norm"), F.col("y_norm"), alike) >= alike
-    return F.when(F.least(*n) <= BY_CHARS, in_chars).otherwise(aligned | in_words | in_chars)
+    return F.when(F.least(F.length("x_signs"), F.length("y_signs")) <= BY_CHARS, in_chars).otherwise(in_words | in_chars)
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -105,12 +101,11 @@ def line_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", al
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(spots.withColumnRenamed("node", "key"), "key").distinct()
         wanted, n = counted(wanted, "line-wanted")
         texts = join_checked(lines.select("key", "row", "norm"), wanted, ["key", "row"], rows=n).groupBy("key").agg(F.first("norm").alias("norm"))
-        hashes = F.transform(F.split("norm", " "), lambda x: F.xxhash64(x))
-        texts = staged(texts.select("key", "norm", word_signs(F.col("norm")).alias("signs"), hashes.alias("words")), "line-texts")
-        near = pairs
-        for a, x in (("a", "x"), ("b", "y")):
-            near = near.join(texts.select(F.col("key").alias(a), *(F.col(c).alias(f"{x}_{c}") for c in ("norm", "signs", "words"))), a)
-        return near.repartition(partitions(spark)).where(alike_lines(alike)).select("a", "b")  # distances cost time, not bytes
+        texts = staged(texts.select("key", "norm", word_signs(F.col("norm")).alias("signs")), "line-texts")
+        text = lambda key, x: texts.select(F.col("key").alias(key), F.col("norm").alias(f"{x}_norm"), F.col("signs").alias(f"{x}_signs"))
+        # distances cost time, not bytes: pairs are dealt to so many tasks by b (each line's own; leads are a) before the join that compares, as filters move below a shuffle after it
+        near = pairs.join(text("a", "x"), "a").repartition(partitions(spark), "b")
+        return near.join(text("b", "y"), "b").where(alike_lines(alike)).select("a", "b")
 
     found, n = counted(key_groups(sketches.select("node", "size", "keys"), alike, verify).select(F.col("node").alias("key"), F.col("component").alias("other")), "line-groups")
     known = join_checked(lines.where("key is not null").select("row", "doc_id", "pos", "key"), found, "key", "left", rows=n)
