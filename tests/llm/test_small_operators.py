@@ -384,3 +384,14 @@ def test_lines_are_compared_after_pairs_are_dealt_to_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{line} {c * 4}") for i, c in enumerate("abcdef")], "doc_id long, text string")
     assert [r.n_dropped for r in sorted(line_duplicates(df).collect())] == [0, 1, 1, 1, 1, 1]
     assert plans and all(-1 < p.find("levenshtein") < p.find("RepartitionByExpression") for p in plans)  # the comparison stands above
+
+
+def test_line_sketches_read_lines_once_and_take_lines_shorter_than_a_window(spark):
+    from tidemark.llm import line_dedup
+
+    lines = spark.createDataFrame([(1, 7, "abc"), (2, 8, "ab cd"), (3, 9, "one two three four five six seven eight nine ten")], "key long, row long, norm string")
+    found = line_dedup.line_sketches(lines, 3)
+    assert sorted({(r.node, r.row, r.size) for r in found.collect()}) == [(1, 7, 3), (2, 8, 5), (3, 9, 48)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    df = spark.createDataFrame([(1, "abc\nAB cd"), (2, "ab cd!\nabd")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in line_duplicates(df, least_chars=3).collect()} == {1: [], 2: [0]}

@@ -63,18 +63,18 @@ def line_sketches(lines: DataFrame, least_chars: int) -> DataFrame:
 
     Features are rows and minima aggregates, so equal lines meet early. Lines without a long word have four minima over pairs of words in their keys."""
     own = lines.where(F.length("norm") >= least_chars).select(F.col("key").alias("node"), "row", F.length("norm").alias("size"), "norm", F.split("norm", " ").alias("w"))
-    places = lambda upto: F.explode(F.sequence(F.lit(0), upto)).alias("i")
-    at = lambda c, k=0: F.get(c, F.col("i") + k)
-    words = own.where(F.size("w") >= BY_WORDS).select("node", "row", "size", "w", places(F.size("w") - 1))
-    words = words.select("node", "row", "size", F.lit("w").alias("kind"), F.when(F.octet_length(at("w")) >= WORD_BYTES, F.xxhash64(at("w"))).alias("one"), F.when(at("w", 1).isNotNull(), F.xxhash64(at("w"), at("w", 1))).alias("two"))
-    chars = own.where(F.size("w") <= BY_CHARS).select("node", "row", "size", F.split("norm", "").alias("c"))
-    chars = chars.select("node", "row", "size", "c", places(F.size("c") - WINDOW_CHARS))
-    window = F.xxhash64(F.slice("c", F.col("i") + 1, WINDOW_CHARS))
-    chars = chars.select("node", "row", "size", F.lit("c").alias("kind"), window.alias("one"), window.alias("two"))
+    n = F.size("w")
+    own = own.select("node", "row", "size", "w", F.when(n <= BY_CHARS, F.split("norm", "")).alias("c"))
+    windows = F.when(n <= BY_CHARS, F.greatest(F.size("c") - WINDOW_CHARS + 1, F.lit(1))).otherwise(0)
+    features = own.select("node", "row", "size", "w", "c", F.explode(F.sequence(-windows, F.when(n >= BY_WORDS, n).otherwise(0) - 1)).alias("i"))  # windows below 0, words from 0: lines are read once
+    i, window, at = F.col("i"), F.xxhash64(F.slice("c", -F.col("i"), WINDOW_CHARS)), lambda k: F.get("w", F.col("i") + k)
+    one = F.when(i < 0, window).when(F.octet_length(at(0)) >= WORD_BYTES, F.xxhash64(at(0)))
+    two = F.when(i < 0, window).when(at(1).isNotNull(), F.xxhash64(at(0), at(1)))
+    features = features.select("node", "row", "size", F.when(i < 0, "c").otherwise("w").alias("kind"), one.alias("one"), two.alias("two"))
     turn = [(j * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for j in range(2 * MINIMA)]  # the least hash after each exclusive or is any feature's alike
     columns = [(f"{c}{j}", F.col(c)) for c in ("one", "two") for j in range(MINIMA)]
     minima = [F.min(h.bitwiseXOR(F.lit(t))).alias(name) for (name, h), t in zip(columns, turn, strict=True)]
-    found = words.unionByName(chars).groupBy("node", "kind").agg(F.min("row").alias("row"), F.min("size").alias("size"), *minima)
+    found = features.groupBy("node", "kind").agg(F.min("row").alias("row"), F.min("size").alias("size"), *minima)
     one = lambda k, other: F.coalesce(f"one{k % MINIMA}", f"two{other % MINIMA}")
     keys = [F.xxhash64("kind", F.lit(k), one(k, k + 1), one(k + 3, k + 2), one(k + 4, k + 3), f"two{k}") for k in range(MINIMA)]
     more = [F.xxhash64("kind", F.lit(MINIMA + k), one(k, k + 1), one(k + 2, k + 3), f"two{k}") for k in range(MINIMA)]
@@ -92,7 +92,7 @@ def line_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", al
     A null text is one empty line; lines of which nothing is left when normalised always stay; rows with a null doc_id are linked like others; rows that
     repeat an id are rows of their own, in order of storage; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
-    lines = staged(line_table(docs, key, text), "lines")
+    lines = staged(line_table(docs, key, text), "lines", compression="zstd")  # the one table of the texts' size
     sketches = staged(line_sketches(lines, least_chars), "line-sketches")
     spots = sketches.select("node", "row")
 
