@@ -70,3 +70,46 @@ def test_rules_nested_straight_from_rows(spark):
     assert loaded(straight) == loaded(long) and {d["status"] for d in loaded(straight).values()} == {"blocked", "passed"}
     plan = straight._jdf.queryExecution().optimizedPlan().toString()
     assert "more" not in plan.split("RepartitionByExpression")[0] and "Generate" not in plan
+
+
+def test_summary_makes_documents_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.checks import Check
+
+    df = spark.createDataFrame([(1, 1, "a", 5), (1, 1, "a", 1), (1, 2, "b", 1), (2, 3, "a", 1)], "e int, v int, i string, x int")
+    texts = N.nested_rules_json(df, "e", "v", "i", ["x"], lambda c=F.col: [Check("x", c("x") > 3, "block", "x", {"x": c("x")}), Check("y", c("x") < 0)])
+    out = N.checks_summary(N.from_nested_json(texts, "e", kind=N.SUMMARY), "e")
+    assert sorted(tuple(r) for r in out.fillna("-").collect()) == [("-", 2, 1, 1), ("x", 3, 2, 1), ("y", 3, 3, 0)]
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(out).count("from_json(") == plan(out).count("RepartitionByExpression") == 1
+    assert plan(N.flattened(N.from_nested_json(texts, "e"), "e").where("not passed")).count("from_json(") == 1
+
+
+def test_summary_of_odd_documents(spark):
+    check = '{"passed":false,"action":"block","message":"","details":{"x":1.0}}'
+    texts = [
+        "{}", None, '{"status":"blocked","studies":{"0":{"status":"passed"},"1":{"files":{"a":{},"b":{"checks":{"x":%s,"y":{}}}}}}}' % check, '{"status":"passed","studies":{}}',
+        '{"status":"passed","studies":{"0":{"files":{}},"1":{"files":{"a":{"checks":{"x":{"passed":true}}},"b":{"checks":{"x":{}}}}}},"patient_level_checks":{"z":%s}}' % check]
+    df = spark.createDataFrame(list(enumerate(texts)), "e int, value string")
+    summary = lambda d: sorted(tuple(r) for r in N.checks_summary(d, "e").fillna("-").collect())
+    for kind in (N.DOCUMENT, N.SUMMARY):
+        assert summary(N.from_nested_json(df, "e", kind=kind)) == [("-", 4, 2, 1), ("x", 3, 2, 1), ("y", 1, 1, 0)]
+        assert summary(N.from_nested_json(df.where("false"), "e", kind=kind)) == [("-", 0, 0, 0)]
+    assert N.flattened(N.from_nested_json(df, "e"), "e").where("level = 'file'").count() == 4
+
+
+def test_texts_straight_from_rows_quote_names(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.checks import Check, run_checks
+
+    def rules(c=F.col):
+        return [Check('q"1', c("x") > 3, F.when(c("x") > 5, "block").otherwise("warn"), F.concat(F.lit('"\\\n'), c("x").cast("string")), {'d"': c("x"), "e": c("y")}), Check("é", c("y") > 2, "block", "y")]
+
+    names = ['a"b', "\\", "line\nbreak", "é\t", "", "[]", None]
+    rng = random.Random(6)
+    rows = [(rng.choice(["p", 'q"']), rng.choice(names), rng.choice(names), rng.choice([1, 4, 9, None]), rng.choice([1.5, float("nan"), None])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "e string, v string, i string, x int, y double").repartition(3)
+    loaded = lambda d: {r.e: json.loads(r.value) for r in d.collect()}
+    assert loaded(N.nested_rules_json(df, "e", "v", "i", ["x", "y"], rules)) == loaded(N.nested_json(N.nested(run_checks(df, ["e", "v", "i"], rules()), "e", "v", "i"), "e"))

@@ -13,8 +13,11 @@ from tidemark.operators.checks import Check
 RESULT = "struct<passed:boolean,action:string,message:string,details:map<string,double>>"
 CHECKS = f"map<string,{RESULT}>"
 #: Fixed names of the document's parts; readers of it know them.
-STUDIES = f"map<string,struct<status:string,files:map<string,struct<checks:{CHECKS}>>,study_level_checks:{CHECKS}>>"
+FILES = f"map<string,struct<checks:{CHECKS}>>"
+STUDIES = f"map<string,struct<status:string,files:{FILES},study_level_checks:{CHECKS}>>"
 DOCUMENT = f"struct<status:string,studies:{STUDIES},patient_level_checks:{CHECKS}>"
+#: What checks_summary reads of a document.
+SUMMARY = "struct<status:string,studies:map<string,struct<files:map<string,struct<checks:map<string,struct<passed:boolean>>>>>>>"
 LEVELS = ("file", "study", "patient")
 
 
@@ -48,36 +51,56 @@ def _blocks(check: Check) -> Column:
     return F.coalesce(check.fails & (action == "block"), F.lit(False)) if check.enabled else F.lit(False)
 
 
-def nested_rules(rows: DataFrame, entity: str, visit: str, item: str, columns: Sequence[str], rules: Callable[[Callable[[str], Column]], Sequence[Check]]) -> DataFrame:
-    """What nested gives of run_checks' rows of files, straight from rows: rules makes the checks of a row whose `columns` the function that it is given names.
+def nested_rules_json(rows: DataFrame, entity: str, visit: str, item: str, columns: Sequence[str], rules: Callable[[Callable[[str], Column]], Sequence[Check]]) -> DataFrame:
+    """(entity, value): the JSON that nested_json gives of nested over run_checks' rows of files, straight from rows: rules makes the checks of a row whose `columns` the function that it is given names.
 
-    Rows are dealt by their entity and gathered by item, visit and entity with these columns only; checks, names and messages are made of the gathered rows, so that they are neither shuffled nor sorted."""
+    Rows are dealt by their entity and gathered by item, visit and entity with these columns only; checks, names and messages are made of the gathered rows, so that they are neither shuffled nor sorted.
+    An item's part becomes text at once: what a lambda returns is copied at each level above it, and a text is copied faster than maps of structs."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     held = lambda *e: F.collect_list(F.struct(*e))  # noqa: E731  of an entity's own rows
+    names = [c.name for c in rules(F.col)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"checks of the same name: {names}")
+    # repeats that don't stay block as well
+    blocks = reduce(Column.__or__, (_blocks(c) for c in rules(lambda c: F.col("row")[c])))
     own = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), name(visit).alias("visit"), name(item).alias("item"), F.struct(*columns).alias("row")).repartition("entity")
-    items = own.groupBy("entity", "visit", "item").agg(F.collect_list("row").alias("rows"))
-    visits = items.groupBy("entity", "visit").agg(held("item", "rows").alias("items"))
-    whole = visits.groupBy("entity").agg(held("visit", "items").alias("visits"))
-    none = F.create_map().cast(CHECKS)
+    items = own.groupBy("entity", "visit", "item").agg(F.collect_list("row").alias("rows"), F.bool_or(blocks).alias("blocked"))
+    visits = items.groupBy("entity", "visit").agg(held("item", "rows").alias("items"), F.bool_or("blocked").alias("blocked"))
+    whole = visits.groupBy("entity").agg(held("visit", "items", "blocked").alias("visits"), F.bool_or("blocked").alias("blocked"))
 
-    def worst(results: Column) -> Column:
-        order = F.transform(results, lambda r, i: F.struct(~r["passed"], r["action"], r["message"], F.to_json(r["details"]), i.alias("i")))
-        return F.get(results, F.array_max(order)["i"])
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), 0)
 
-    def checks(held_rows: Column) -> Column:
-        names = [c.name for c in rules(F.col)]
-        made = lambda r, k: F.struct(*(rules(lambda c: r[c])[k].result()[x].alias(x) for x in ("passed", "action", "message", "details"))).cast(RESULT)
-        each = [F.when(F.size(held_rows) == 1, made(F.get(held_rows, 0), k)).otherwise(worst(F.transform(held_rows, lambda r: made(r, k)))) for k in range(len(names))]
-        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*each))
+    def result(r: Column, k: int) -> Column:
+        made = rules(lambda c: r[c])[k].result()
+        return F.struct(*(made[x].alias(x) for x in ("passed", "action", "message", "details")))
 
-    # repeats that don't stay block as well
-    fails = lambda r: reduce(Column.__or__, (_blocks(c) for c in rules(lambda c: r[c])))
-    blocked = lambda v: F.exists(v["items"], lambda i: F.exists(i["rows"], fails))
+    def worst(held_rows: Column, k: int) -> Column:
+        """Of the results of check k the one that stays."""
+        order = lambda m, i: F.struct(~m["passed"], m["action"], m["message"], F.to_json(m["details"]), i.alias("i"))
+        return bound(F.get(held_rows, F.array_max(F.transform(held_rows, lambda r, i: order(result(r, k), i)))["i"]), lambda r: result(r, k))
+
+    joined = lambda texts: F.array_join(texts, ",")
     state = lambda hit: F.when(hit, "blocked").otherwise("passed")
-    files = lambda v: F.map_from_entries(F.transform(v["items"], lambda i: F.struct(i["item"], F.struct(checks(i["rows"]).alias("checks")))))
-    studies = F.map_from_entries(F.transform("visits", lambda v: F.struct(v["visit"], F.struct(state(blocked(v)).alias("status"), files(v).alias("files"), none.alias("study_level_checks")))))
-    document = F.struct(state(F.exists("visits", blocked)).alias("status"), studies.alias("studies"), none.alias("patient_level_checks"))
-    return whole.select(F.col("entity").alias(entity), document.cast(DOCUMENT).alias("document"))
+    part = lambda results: F.to_json(F.struct(F.struct(*(r.alias(n) for n, r in zip(names, results, strict=True))).alias("checks")))
+
+    def quoted(text: Column) -> Column:
+        return bound(F.to_json(F.array(text)), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
+
+    def file(i: Column) -> Column:
+        once = F.get(F.transform(i["rows"], lambda r: part([result(r, k) for k in range(len(names))])), 0)
+        repeated = part([worst(i["rows"], k) for k in range(len(names))])
+        return F.concat(quoted(i["item"]), F.lit(":"), F.when(F.size(i["rows"]) == 1, once).otherwise(repeated))
+
+    def study(v: Column) -> Column:
+        return F.concat(quoted(v["visit"]), F.lit(':{"status":"'), state(v["blocked"]), F.lit('","files":{'), joined(F.transform(v["items"], file)), F.lit('},"study_level_checks":{}}'))
+
+    value = F.concat(F.lit('{"status":"'), state(F.col("blocked")), F.lit('","studies":{'), joined(F.transform("visits", study)), F.lit('},"patient_level_checks":{}}'))
+    return whole.select(F.col("entity").alias(entity), value.alias("value"))
+
+
+def nested_rules(rows: DataFrame, entity: str, visit: str, item: str, columns: Sequence[str], rules: Callable[[Callable[[str], Column]], Sequence[Check]]) -> DataFrame:
+    """What nested gives of run_checks' rows of files, straight from rows: nested_rules_json read again."""
+    return from_nested_json(nested_rules_json(rows, entity, visit, item, columns, rules), entity)
 
 
 def nested_json(documents: DataFrame, entity: str) -> DataFrame:
@@ -85,9 +108,9 @@ def nested_json(documents: DataFrame, entity: str) -> DataFrame:
     return documents.select(entity, F.to_json("document").alias("value"))
 
 
-def from_nested_json(rows: DataFrame, entity: str, value: str = "value") -> DataFrame:
-    """(entity, document) of JSON; null where it isn't a document."""
-    return rows.select(entity, F.from_json(value, DOCUMENT).alias("document"))
+def from_nested_json(rows: DataFrame, entity: str, value: str = "value", kind: str = DOCUMENT) -> DataFrame:
+    """(entity, document) of JSON; null where it isn't a document. kind: the parts to read, DOCUMENT or SUMMARY."""
+    return rows.select(entity, F.from_json(value, kind).alias("document"))
 
 
 def flattened(documents: DataFrame, entity: str, visit: str = "visit", item: str = "item") -> DataFrame:
@@ -101,10 +124,11 @@ def flattened(documents: DataFrame, entity: str, visit: str = "visit", item: str
 
     nothing = F.lit(None)
     studies = F.map_entries(F.coalesce(d["studies"], F.create_map().cast(STUDIES)))
-    files = F.flatten(F.flatten(F.transform(studies, lambda s: F.transform(F.map_entries(s["value"]["files"]), lambda f: results(f["value"]["checks"], "file", s["key"], f["key"])))))
+    files = F.flatten(F.flatten(F.transform(studies, lambda s: F.transform(F.map_entries(F.coalesce(s["value"]["files"], F.create_map().cast(FILES))), lambda f: results(f["value"]["checks"], "file", s["key"], f["key"])))))
     visits = F.flatten(F.transform(studies, lambda s: results(s["value"]["study_level_checks"], "study", s["key"], nothing)))
     every = F.concat(files, visits, results(d["patient_level_checks"], "patient", nothing, nothing))
-    return documents.where(d.isNotNull()).select(entity, F.explode(every).alias("r")).select(entity, F.col("r.visit").alias(visit), F.col("r.item").alias(item), "r.level", "r.check_name", "r.passed", "r.action", "r.message", "r.details")
+    # no filter by the document: it would be made once for the filter and once more for the rows; a missing one has no results
+    return documents.select(entity, F.explode(every).alias("r")).select(entity, F.col("r.visit").alias(visit), F.col("r.item").alias(item), "r.level", "r.check_name", "r.passed", "r.action", "r.message", "r.details")
 
 
 def with_metric(rows: DataFrame, metrics: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -118,7 +142,18 @@ def with_metric(rows: DataFrame, metrics: Mapping[str, tuple[str, str]]) -> Data
 
 
 def checks_summary(documents: DataFrame, entity: str) -> DataFrame:
-    """(check_name, total, n_passed, n_failed) of the items' checks, and in a row without a name the entities: all, passed, blocked."""
-    items = flattened(documents, entity).where("level = 'file'").groupBy("check_name").agg(F.count("*").alias("total"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
-    whole = documents.where("document is not null").agg(F.lit(None).cast("string").alias("check_name"), F.count("*").alias("total"), F.count_if(F.col("document.status") != "blocked").alias("n_passed"), F.count_if(F.col("document.status") == "blocked").alias("n_failed"))
-    return items.unionByName(whole)
+    """(check_name, total, n_passed, n_failed) of the items' checks, and in a row without a name the entities: all, passed, blocked. Documents need no more than SUMMARY.
+
+    Levels are unfolded one by one, by generated code, in a single pass: an entity counts where the first of each level, or none, stands."""
+    d, values = F.col("document"), lambda c: F.map_values(F.col(c))
+    rows = documents.select(d.isNotNull().alias("there"), d["status"].alias("status"), d["studies"].alias("studies"))
+    rows = rows.select("there", "status", F.posexplode_outer(values("studies")).alias("i", "study")).select("there", "status", "i", F.col("study.files").alias("files"))
+    rows = rows.select("there", "status", "i", F.posexplode_outer(values("files")).alias("j", "file")).select("there", "status", "i", "j", F.col("file.checks").alias("checks"))
+    rows = rows.select("there", "status", "i", "j", F.posexplode_outer("checks").alias("k", "check_name", "result"))
+    first = F.col("there") & (F.greatest(F.lit(0), "i", "j", "k") == 0)
+    named, passed, blocked = F.col("k").isNotNull(), F.coalesce(F.col("result.passed"), F.lit(True)), F.col("status") == "blocked"
+    tests = {"total": (named, first), "n_passed": (named & passed, first & ~blocked), "n_failed": (named & ~passed, first & blocked)}
+    counts = rows.groupBy("check_name").agg(*(F.count_if(t).alias(f"{c}_{n}") for c, two in tests.items() for n, t in zip(("items", "entities"), two, strict=True)))
+    both = F.array(*(F.struct(name.alias("check_name"), *(F.col(f"{c}_{n}").alias(c) for c in tests)) for n, name in (("items", F.col("check_name")), ("entities", F.lit(None).cast("string")))))
+    nobody = documents.sparkSession.range(1).select(F.lit(None).cast("string").alias("check_name"), *(F.lit(0).cast("long").alias(c) for c in tests))  # a row also where no document is
+    return counts.select(F.explode(both).alias("r")).select("r.*").unionByName(nobody).groupBy("check_name").agg(*(F.sum(c).alias(c) for c in tests))

@@ -12,10 +12,10 @@ from tidemark.sources.staging import new_path
 from tidemark.sources.tables import table
 
 
-def _documents(spark, d):
-    """The checks of lines as nested documents of customers, written as JSON and read again."""
-    documents = N.nested_rules(_rules(spark, d)[0], "o_custkey", "o_orderkey", "l_linenumber", ["l_quantity", "l_discount", "l_extendedprice", "l_tax"], _line_rules)
-    return N.from_nested_json(N.nested_json(documents, "o_custkey"), "o_custkey")
+def _documents(spark, d, kind=N.DOCUMENT):
+    """The checks of lines as nested documents of customers, written as JSON and read again; kind: the parts that are read."""
+    texts = N.nested_rules_json(_rules(spark, d)[0], "o_custkey", "o_orderkey", "l_linenumber", ["l_quantity", "l_discount", "l_extendedprice", "l_tax"], _line_rules)
+    return N.from_nested_json(texts, "o_custkey", kind=kind)
 
 
 @query(f"""WITH {CHECKS}, d AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey, l_linenumber, check_name ORDER BY passed, action DESC, message DESC) AS r FROM ck)
@@ -31,7 +31,7 @@ e AS (SELECT o_custkey, bool_or(NOT passed AND action = 'block') AS blocked FROM
 SELECT check_name, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (passed) AS BIGINT) AS n_passed, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS n_failed FROM d WHERE r = 1 GROUP BY 1
 UNION ALL SELECT NULL, CAST(count(*) AS BIGINT), CAST(count(*) FILTER (NOT blocked) AS BIGINT), CAST(count(*) FILTER (blocked) AS BIGINT) FROM e""")
 def nested_summary(spark, d):
-    return N.checks_summary(_documents(spark, d), "o_custkey")
+    return N.checks_summary(_documents(spark, d, N.SUMMARY), "o_custkey")
 
 
 @query(f"""WITH k AS (SELECT o_custkey, o_orderkey, l_linenumber, unnest([{{'check_name': 'quantity', 'v': CAST(l_quantity AS DOUBLE), 'f': l_quantity > 48}}, {{'check_name': 'discount', 'v': CAST(l_discount AS DOUBLE), 'f': l_discount > 0.08}},
